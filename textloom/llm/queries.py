@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .near_dedup import near_duplicates
 from .packing import best_fit_packing
+from .pii import span_digest
 from .quality_rules import quality_rules
 
 
@@ -20,6 +21,10 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
+def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
