@@ -66,6 +66,9 @@ def words_of(text):
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_APART = np.ones(256, bool)
+_APART[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = False
+_APART[128:] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -84,9 +87,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 class WordHasher:
     """64-bit hashes of the words of texts, A-Z lower-cased, by a polynomial in a
-    fixed odd base; blocks of about 1 MB bound the memory."""
+    fixed odd base; blocks of about 1 MB bound the memory. plain: ASCII marks part words too."""
 
-    def __init__(self):
+    def __init__(self, plain: bool = False):
+        self.apart = _APART if plain else _SPACE
         self._grow(64)
 
     def _grow(self, n: int) -> None:
@@ -96,7 +100,7 @@ class WordHasher:
 
     def _block(self, data: bytes) -> np.ndarray:
         raw = np.frombuffer(data, np.uint8)
-        solid = ~_SPACE[raw]
+        solid = ~self.apart[raw]
         edges = np.flatnonzero(np.diff(solid, prepend=False, append=False))
         if not len(edges):
             return np.zeros(0, np.uint64)
@@ -115,7 +119,7 @@ class WordHasher:
         parts, at = [], 0
         while at < len(data):
             end = min(at + _BLOCK, len(data))
-            while end < len(data) and not _SPACE[data[end]]:
+            while end < len(data) and not self.apart[data[end]]:
                 end += 1
             parts.append(self._block(data[at:end]))
             at = end
@@ -125,7 +129,7 @@ class WordHasher:
         """Of texts whose total size is moderate: all hashes, and each text's number."""
         joined = b"\n".join(texts)
         raw = np.frombuffer(joined, np.uint8)
-        solid = ~_SPACE[raw]
+        solid = ~self.apart[raw]
         starts = np.flatnonzero(solid[1:] & ~solid[:-1]) + 1
         if len(solid) and solid[0]:
             starts = np.concatenate([[0], starts])
