@@ -168,3 +168,20 @@ def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
     if len(words) < n:
         return mix64(ngram_hashes(words, len(words)) + np.uint64(len(words)))
     return np.unique(ngram_hashes(words, n))
+
+
+#: So many keys of rows to drop are sent to all executors; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def drop_rows(docs: DataFrame, dropped: DataFrame, keys: dict) -> DataFrame:
+    """docs without the rows whose keys (column of dropped -> expression over docs) stand in
+    dropped; a null equals a null. Rows of docs are not shuffled while dropped is small."""
+    dropped = dropped.select(*[F.col(c).alias(f"__drop_{c}") for c in keys]).distinct()
+    if dropped.count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
+    on = None
+    for c, mine in keys.items():
+        same = mine.eqNullSafe(F.col(f"__drop_{c}"))
+        on = same if on is None else on & same
+    return docs.join(dropped, on, "left_anti")
