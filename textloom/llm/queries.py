@@ -13,6 +13,7 @@ from .langid import identify_languages
 from .near_dedup import near_duplicates
 from .packing import best_fit_packing
 from .pii import span_digest
+from .quality_model import score_quality
 from .quality_rules import quality_rules
 from .sharding import shard_documents
 from .url_filter import filter_urls
@@ -42,6 +43,10 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op6_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
