@@ -1,11 +1,14 @@
-"""All registered queries and their oracles."""
+"""All queries but those of the training-data operators, and their oracles."""
 
 from __future__ import annotations
 
+from .plans import corpus, scores, shape, texts  # noqa: F401  registers their queries
+from .plans.base import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
