@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _c(x) -> Column:
@@ -174,7 +175,7 @@ def learning_rate(kind: str, step: Column, *, base: float, warmup: int, steps: i
     return F.when(x < warmup, base * (x + 1) / (warmup + 1)).otherwise(shapes[kind])
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Levenshtein distance of two arrays (of tokens), a row of the table at a time."""
 
@@ -192,7 +193,7 @@ def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
-@F.pandas_udf("array<array<double>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
 def log_mel(signal: pd.Series) -> pd.Series:
     """Log-mel frames of signals at 16 kHz: pre-emphasis 0.97, 20 ms Hann windows, 10 ms hop,
     512-point power spectrum, 64 triangular mel filters, log with a floor of 2^-24."""

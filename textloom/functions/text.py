@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _STRIP = "(?U)^\\s+|\\s+$"
@@ -118,13 +119,13 @@ def detokenise(text: Column) -> Column:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unaccent(text: pd.Series) -> pd.Series:
     """NFD without combining marks."""
     return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def to_ascii(text: pd.Series) -> pd.Series:
     """Compatibility decomposition; what is not ASCII then is dropped."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
@@ -141,7 +142,7 @@ def normalise_utterance(text: Column) -> Column:
     return collapse(F.regexp_replace(plain, "[^a-zA-Z.!?]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def speak_numbers(text: pd.Series) -> pd.Series:
     """Digits as English words: ordinals, dollars, decimals and whole numbers."""
     import re
@@ -176,7 +177,7 @@ def speak_numbers(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else shape.sub(say, t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def project_answer(predicted: pd.Series, original: pd.Series) -> pd.Series:
     """The part of `original` whose characters, case and spaces aside, spell `predicted`;
     `original` itself if there is none."""
