@@ -2,14 +2,14 @@
 
 One pass over the texts counts each document's words, repeats, character classes and
 common words; those counts (a few numbers a document) are a table in the shared folder.
-Their sums by language, over all documents, are the language references: one row a
-language, so the join back is small whatever the input. A document whose histograms lie
-too far from the reference by Jensen-Shannon distance is rejected, if it is long enough
-for its histogram to mean something."""
+Their means by language, over the typical half of all documents, are the language
+references: one row a language, so the join back is small whatever the input. A document
+whose histograms lie too far from the reference by Jensen-Shannon distance is rejected, if
+it is long enough for its histogram to mean something."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_SEPARATORS, Shelf, words_of
@@ -24,7 +24,7 @@ COMMON_WORDS = {
 CLASSES = ("letter", "upper", "digit", "mark", "symbol", "space", "wide")
 SYMBOLS = "#*$%&|<>"
 #: Distances beyond which a document is rejected, and the least length at which each counts.
-MAX_CHAR_DISTANCE, MIN_CHARS = 0.26, 200
+MAX_CHAR_DISTANCE, MIN_CHARS = 0.33, 200
 MAX_WORD_DISTANCE, MIN_WORDS = 0.42, 50
 WINDOW, MIN_DOC_WORDS, MAX_REPEAT_PERCENT = 5, 10, 20
 
@@ -105,31 +105,64 @@ def _with_rest(common: Column, bare: Column, n_words: Column) -> Column:
     return F.concat(common, F.array(bare, n_words - bare - F.aggregate(common, F.lit(0).cast("long"), lambda s, x: s + x)))
 
 
-def judge(counts: DataFrame) -> DataFrame:
+def _means(rows: DataFrame, chars_in: Column, words_in: Column) -> DataFrame:
+    """(key, ref_chars, ref_common): mean shares by key, so that no long document dominates."""
+    n_common = len(next(iter(COMMON_WORDS.values()))) + 2
+    sums = rows.groupBy("key").agg(
+        *[F.avg(F.when(chars_in, F.col("own_chars")[k])).alias(f"c{k}") for k in range(len(CLASSES))],
+        *[F.avg(F.when(words_in, F.col("own_common")[k])).alias(f"w{k}") for k in range(n_common)],
+    )
+    return sums.select(
+        "key",
+        F.when(F.col("c0").isNotNull(), F.array(*[F.col(f"c{k}") for k in range(len(CLASSES))])).alias("ref_chars"),
+        F.when(F.col("w0").isNotNull() & (F.col("key") != ""), F.array(*[F.col(f"w{k}") for k in range(n_common)])).alias("ref_common"),
+    )
+
+
+def _distances(rows: DataFrame, references: DataFrame) -> DataFrame:
+    """Adds char_distance and word_distance; references has a row for each language at most."""
+    joined = rows.join(F.broadcast(references), "key", "left")
+    return joined.withColumns({
+        "char_distance": js_distance(F.col("own_chars"), F.col("ref_chars")), "word_distance": js_distance(F.col("own_common"), F.col("ref_common")),
+    }).drop("ref_chars", "ref_common")
+
+
+def _middle(rows: DataFrame, distance: str, out: str) -> DataFrame:
+    """(key, out): the step of 0.01 up to which half of the key's distances lie, from exact counts."""
+    steps = rows.filter(F.col(distance).isNotNull()).groupBy("key", F.floor(F.col(distance) * 100).alias("step")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("key").orderBy("step"))
+    steps = steps.select("key", "step", upto.alias("upto"), F.sum("n").over(Window.partitionBy("key")).alias("all"))
+    return steps.filter(2 * F.col("upto") >= F.col("all")).groupBy("key").agg(F.min("step").alias(out))
+
+
+def references(rows: DataFrame, shelf: Shelf) -> DataFrame:
+    """(key, ref_chars, ref_common) of each language and, with an empty key, of all documents:
+    the mean histograms of that half of the documents that lies nearest to the mean of all, so
+    that junk, however much there is of it below a half, does not shift what it is held against."""
+    typical = rows.filter((F.col("n_chars") >= MIN_CHARS) & ~F.col("base_failed"))
+    typical = typical.withColumn("key", F.explode(F.array_distinct(F.array("key", F.lit("")))))
+    long_enough = F.col("n_words") >= MIN_WORDS
+    first = shelf.put(_means(typical, F.lit(True), long_enough), "first")
+    placed = _distances(typical, first).withColumn("word_distance", F.when(long_enough, F.col("word_distance")))
+    middles = shelf.put(_middle(placed, "char_distance", "chars_to").join(_middle(placed, "word_distance", "words_to"), "key", "left"), "middles")
+    placed = placed.join(F.broadcast(middles), "key")
+    return shelf.put(_means(placed, F.floor(F.col("char_distance") * 100) <= F.col("chars_to"), F.floor(F.col("word_distance") * 100) <= F.col("words_to")), "references")
+
+
+def judge(counts: DataFrame, shelf: Shelf) -> DataFrame:
     """Adds char_distance, word_distance, base_failed and kept to text_counts()."""
-    n_common = len(next(iter(COMMON_WORDS.values())))
-    sums = [F.sum(F.col("chars")[k]).alias(f"c{k}") for k in range(len(CLASSES))]
-    sums += [F.sum(F.col("common")[k]).alias(f"w{k}") for k in range(n_common)]
-    totals = counts.groupBy("lang").agg(*sums, F.sum("bare").alias("bare"), F.sum("n_words").alias("words"))
-    chars = F.array(*[F.col(f"c{k}") for k in range(len(CLASSES))])
-    n_chars = sum((F.col(f"c{k}") for k in range(1, len(CLASSES))), F.col("c0"))
-    common = _with_rest(F.array(*[F.col(f"w{k}") for k in range(n_common)]), F.col("bare"), F.col("words"))
-    # One row for each language of COMMON_WORDS at most, and one for all others together.
-    known = totals.filter(F.col("lang").isin(*COMMON_WORDS)).select(
-        "lang", _shares(chars, n_chars).alias("ref_chars"), _shares(common, F.col("words")).alias("ref_common")
-    )
-    everything = counts.agg(*sums[: len(CLASSES)]).select(_shares(chars, n_chars).alias("all_chars"))
-    out = counts.join(F.broadcast(known), "lang", "left").crossJoin(F.broadcast(everything))
     own_total = F.aggregate("chars", F.lit(0).cast("long"), lambda s, x: s + x)
-    out = out.withColumns({
-        "char_distance": js_distance(_shares(F.col("chars"), own_total), F.coalesce("ref_chars", "all_chars")),
-        "word_distance": js_distance(_shares(_with_rest(F.col("common"), F.col("bare"), F.col("n_words")), F.col("n_words")), F.col("ref_common")),
+    rows = counts.withColumns({
+        "key": F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")).otherwise(""),
+        "own_chars": _shares(F.col("chars"), own_total),
+        "own_common": _shares(_with_rest(F.col("common"), F.col("bare"), F.col("n_words")), F.col("n_words")),
         "base_failed": (F.col("n_words") < MIN_DOC_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
     })
+    out = _distances(rows, references(rows, shelf))
     far = ((F.col("n_chars") >= MIN_CHARS) & (F.col("char_distance") > MAX_CHAR_DISTANCE)) | (
         (F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE)
     )
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).drop("ref_chars", "ref_common", "all_chars")
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).drop("key", "own_chars", "own_common")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
@@ -143,7 +176,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     empty table gives no rows."""
     shelf = Shelf(docs.sparkSession, "rules")
     counts = shelf.put(text_counts(docs, id_col, text_col, lang_col), "counts")
-    return judge(counts).select(
+    return judge(counts, shelf).select(
         "doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "char_distance", "word_distance", "kept",
     )
