@@ -67,21 +67,28 @@ def class_counts(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return sums.select("label", "tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("t") - F.col("tp")).alias("fn"))
 
 
-def class_report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
-    """(label, precision, recall, f1, support), 0 where there is nothing to divide by."""
-    c = class_counts(df, truth, predicted)
+def _rates() -> tuple[Column, Column, Column]:
+    """Precision, recall and F1 of class_counts(), 0 where there is nothing to divide by."""
     p = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
     r = F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(0.0)
-    return c.select("label", p.alias("precision"), r.alias("recall"), f_score(p, r).alias("f1"), (F.col("tp") + F.col("fn")).alias("support"))
+    return p, r, f_score(p, r)
+
+
+def class_report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """(label, precision, recall, f1, support)."""
+    p, r, f1 = _rates()
+    return class_counts(df, truth, predicted).select(
+        "label", p.alias("precision"), r.alias("recall"), f1.alias("f1"), (F.col("tp") + F.col("fn")).alias("support")
+    )
 
 
 def f1_averages(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """One row: macro, weighted and micro F1 in percent."""
-    report = class_report(df, truth, predicted)
-    counts = class_counts(df, truth, predicted).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
-    means = report.agg(F.avg("f1").alias("macro"), (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted"))
-    micro = F.col("tp") / (F.col("tp") + F.col("fp"))
-    return means.crossJoin(counts).select((F.col("macro") * 100).alias("macro"), (F.col("weighted") * 100).alias("weighted"), (micro * 100).alias("micro"))  # one row each
+    f1, support = _rates()[2], F.col("tp") + F.col("fn")
+    return class_counts(df, truth, predicted).agg(
+        (F.avg(f1) * 100).alias("macro"), (F.sum(f1 * support) / F.sum(support) * 100).alias("weighted"),
+        (F.sum("tp") / F.sum(F.col("tp") + F.col("fp")) * 100).alias("micro"),
+    )
 
 
 def binary_scores(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -126,9 +133,10 @@ def best_threshold(df: DataFrame, probability: str, score: str, has_answer: str)
     """(threshold, best): answers whose no-answer probability exceeds the threshold count as
     none; start from all none, walk up the probabilities, take the first greatest total.
     Equal probabilities are one step, so the walk is over their aggregated sums."""
-    steps = df.groupBy(probability).agg(F.sum(F.when(F.col(has_answer), F.col(score)).otherwise(-F.lit(1.0))).alias("gain"))
-    start = df.agg(F.count_if(~F.col(has_answer)).cast("double").alias("start"))
-    walk = steps.crossJoin(start).withColumn("at", F.col("start") + F.sum("gain").over(Window.orderBy(probability)))  # one row to each
-    every = walk.select(F.col(probability).alias("threshold"), "at").union(start.select(F.lit(0.0), "start"))
-    best = every.agg(F.max_by("threshold", F.struct("at", -F.col("threshold"))).alias("threshold"), F.max("at").alias("best"))
-    return best
+    steps = df.groupBy(probability).agg(
+        F.sum(F.when(F.col(has_answer), F.col(score)).otherwise(-F.lit(1.0))).alias("gain"), F.count_if(~F.col(has_answer)).cast("double").alias("none")
+    )
+    start = F.sum("none").over(Window.partitionBy())
+    walk = steps.select(F.col(probability).alias("threshold"), (start + F.sum("gain").over(Window.orderBy(probability))).alias("at"))
+    every = walk.union(steps.agg(F.lit(0.0).alias("threshold"), F.coalesce(F.sum("none"), F.lit(0.0)).alias("at")))
+    return every.agg(F.max_by("threshold", F.struct("at", -F.col("threshold"))).alias("threshold"), F.max("at").alias("best"))
