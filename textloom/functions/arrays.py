@@ -160,6 +160,61 @@ def gate_target(length: Column, size: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.when(i >= length - 1, 1.0).otherwise(0.0))
 
 
+def find_run(a, run) -> Column:
+    """The first place (from 0) where `run`, not empty, stands inside `a`; -1 if nowhere."""
+    a, n = _c(a), F.size(run)
+    starts = F.when(F.size(a) >= n, F.sequence(F.lit(0), F.size(a) - n)).otherwise(F.array().cast("array<int>"))
+    found = F.filter(starts, lambda i: F.slice(a, i + 1, n) == run)
+    return F.coalesce(F.get(found, F.lit(0)), F.lit(-1))
+
+
+def whole_words(pieces, mark: str) -> Column:
+    """array<array<string>>: pieces that start with `mark` join the group before them."""
+    pieces = _c(pieces)
+    begins = F.filter(F.transform(pieces, lambda p, i: F.when((i == 0) | ~p.startswith(mark), i)), lambda i: i.isNotNull())
+    return F.transform(begins, lambda i, k: F.slice(pieces, i + 1, F.coalesce(F.get(begins, k + 1), F.size(pieces)) - i))
+
+
+def scatter(length: Column, places, values, fill) -> Column:
+    """An array of `length` with values at their places and `fill` elsewhere; the first place
+    that is zero ends the list."""
+    places = _c(places)
+    zero = F.array_position(places, F.lit(0).cast("int"))
+    used = F.when(zero > 0, F.slice(places, F.lit(1), (zero - 1).cast("int"))).otherwise(places)
+    at = F.when(length > 0, F.sequence(F.lit(0), length - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.when(F.array_contains(used, i), F.get(values, (F.array_position(used, i) - 1).cast("int"))).otherwise(fill))
+
+
+def smoothed_cross_entropy(logits, target: Column, smoothing: float = 0.0) -> Column:
+    """-log softmax at the target (from 0), the share `smoothing` of it spread over all classes."""
+    z = _c(logits)
+    top = F.array_max(z)
+    log_sum = top + F.log(total(F.transform(z, lambda x: F.exp(x - top))))
+    return log_sum - (1 - smoothing) * F.get(z, target.cast("int")) - smoothing * total(z) / F.size(z)
+
+
+def piecewise(x: Column, points: list[tuple[float, float]]) -> Column:
+    """Straight lines between the points (sorted by x), flat beyond the ends."""
+    out = F.lit(points[-1][1])
+    for (x0, y0), (x1, y1) in reversed(list(zip(points, points[1:], strict=False))):
+        out = F.when(x <= x1, y0 + (x - x0) / (x1 - x0) * (y1 - y0)).otherwise(out)
+    return F.when(x <= points[0][0], points[0][1]).otherwise(out)
+
+
+def mask_fates(a, key: Column, *, seed: int = 0, share: float = 0.15) -> Column:
+    """array<string>: what masked-word training does with each element: 'masked' (80 % of
+    `share`), 'other' (10 %: to be replaced), 'kept' (10 %: to be predicted) or null. The draw
+    is a digest of key, place and seed, so a rerun of a lost task draws the same."""
+    first, second, last = (round(1000 * share * x) for x in (0.8, 0.9, 1.0))
+
+    def fate(_, i):
+        digest = F.md5(F.concat_ws(":", key.cast("string"), i.cast("string"), F.lit(str(seed))))
+        u = F.conv(F.substring(digest, 1, 6), 16, 10).cast("long") % 1000
+        return F.when(u < first, "masked").when(u < second, "other").when(u < last, "kept")
+
+    return F.transform(_c(a), fate)
+
+
 def learning_rate(kind: str, step: Column, *, base: float, warmup: int, steps: int, least: float = 0.0, power: float = 1.0) -> Column:
     """Closed forms of the usual schedules at a step, after a linear warm-up."""
     x = step.cast("double")

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _STRIP = "(?U)^\\s+|\\s+$"
+#: A word's characters, of any script.
+_IN_WORD = "[\\p{L}\\p{N}_]"
 
 # Spoken forms of abbreviations with a full stop.
 ABBREVIATIONS = {
@@ -42,7 +44,7 @@ def has_currency(text) -> Column:
 
 def expand_abbreviations(text: Column) -> Column:
     for short, spoken in ABBREVIATIONS.items():
-        text = F.regexp_replace(text, f"(?i)\\b{short}\\.", spoken)
+        text = F.regexp_replace(text, f"(?i)(?<!{_IN_WORD}){short}\\.", spoken)
     return text
 
 
@@ -57,7 +59,7 @@ def spoken_punctuation(text: Column, keep: str = "'") -> Column:
 def normalise_answer(text: Column) -> Column:
     """Answers as compared in question answering: lower case, no marks, no articles."""
     plain = F.translate(F.lower(text), PUNCTUATION, "")
-    return collapse(F.regexp_replace(plain, "\\b(a|an|the)\\b", " "))
+    return collapse(F.regexp_replace(plain, f"(?<!{_IN_WORD})(a|an|the)(?!{_IN_WORD})", " "))
 
 
 def strip_punctuation(text: Column) -> Column:
@@ -85,9 +87,29 @@ def tokenise_international(text: Column) -> Column:
     return collapse(F.regexp_replace(text, "(\\p{S})", " $1 "))
 
 
+def han_apart(text: Column) -> Column:
+    """Spaces around each Han character and wide mark."""
+    return F.regexp_replace(text, "(\\p{IsHan}|[\\u3000-\\u303f\\uff00-\\uffef])", " $1 ")
+
+
 def tokenise_zh(text: Column) -> Column:
     """Each Han character a word, then tokenise_13a."""
-    return tokenise_13a(F.regexp_replace(text, "(\\p{IsHan}|[\\u3000-\\u303f\\uff00-\\uffef])", " $1 "))
+    return tokenise_13a(han_apart(text))
+
+
+def coerce(value: Column, kind: str, default: Column | None = None) -> Column:
+    """A setting's text as bool, int, float, decimal, date, datetime, list (by commas) or dict
+    (key=value by commas); null where it does not parse, the default where it is null."""
+    if kind == "bool":
+        out = ~F.lower(F.trim(value)).isin("false", "0", "no", "n", "f", "none", "")
+    elif kind == "list":
+        out = F.transform(F.split(value, ","), lambda x: F.trim(x))
+    elif kind == "dict":
+        out = F.str_to_map(value, F.lit(","), F.lit("="))
+    else:
+        types = {"int": "long", "float": "double", "decimal": "decimal(38,18)", "date": "date", "datetime": "timestamp"}
+        out = F.trim(value).try_cast(types[kind])
+    return out if default is None else F.coalesce(out, default)
 
 
 def char_ids(text: Column, labels: str, unknown: int = -1) -> Column:

@@ -47,6 +47,30 @@ def alphabetical_ids(labels: DataFrame, label: str, pad: str | None = None) -> D
     return each.select(label, (F.row_number().over(Window.orderBy(F.col(label) != F.lit(pad), label)) - 1).cast("long").alias("id"))
 
 
+def last_line_ids(lines: DataFrame, label: str, line_no: str) -> DataFrame:
+    """(label, id): a label's line number, of repeated labels the last."""
+    return lines.groupBy(label).agg(F.max(line_no).alias("id"))
+
+
+def shuffle_key(key: str, seed: int) -> Column:
+    """Sorting by it is a shuffle that a seed repeats on any cluster."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+
+
+def shuffled_first(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """The first n rows of a seeded shuffle: a top-n by shuffle_key(), without a full sort."""
+    return df.orderBy(shuffle_key(key, seed), key).limit(n)
+
+
+def rank_shards(df: DataFrame, order: str, ranks: int, epoch: int = 0) -> DataFrame:
+    """df with `rank` below `ranks`, sizes at most one apart; each epoch deals the rows anew by
+    an arithmetic permutation of their places (a step prime to the row count)."""
+    n = max(df.count(), 1)
+    step = next(p for p in (1_000_003, 1_000_033, 1_000_037, 1_000_039, 1_000_081) if n % p)
+    place = (F.col("__place") * step + epoch * 7919) % n
+    return ranked(df, order, "__place").withColumn("rank", place % ranks).drop("__place")
+
+
 def history(turns: DataFrame, key: str, order: str, text: Column, out: str = "history") -> DataFrame:
     """Each turn's text after those of all earlier turns of its dialogue."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -10,26 +10,46 @@ from ..functions.text import normalise_answer, words
 from ..operators import aggregates, dialogue, metrics, sets
 from .base import query
 from .corpus import PAIRS, WORDS, pairs
+from .texts import normal_sql
 
-ASCII = "regexp_replace({0}, '[^ -~]', '', 'g')"
 WS, WT = WORDS.replace("text", "src"), WORDS.replace("text", "tgt")
+#: DuckDB's distance counts bytes: each character or word of both sides becomes its place among
+#: those, as one byte; one of a single side matches nothing and is 1 or 2.
+_CODED = """SELECT *, list_aggregate(list_transform(a, lambda c: chr(coalesce(nullif(list_position(d, c), 0) + 2, 1)::INT)), 'string_agg', '') AS h,
+list_aggregate(list_transform(b, lambda c: chr(coalesce(nullif(list_position(d, c), 0) + 2, 2)::INT)), 'string_agg', '') AS r
+FROM (SELECT role, a, b, list_intersect(a, b) AS d FROM ({0}))"""
+_EDITS = "CASE WHEN len(a) = 0 THEN len(b) WHEN len(b) = 0 THEN len(a) ELSE levenshtein(h, r) END"
 
 
-@query(f"""SELECT role, count(*) AS n, round(sum(levenshtein(s, g)) / sum(length(g)), 6) AS cer
-FROM (SELECT role, {ASCII.format('src')} AS s, {ASCII.format('tgt')} AS g FROM {PAIRS}) GROUP BY role""")
+@query(f"""SELECT role, count(*) AS n, round(sum({_EDITS}) / sum(len(b)), 6) AS cer
+FROM ({_CODED.format(f"SELECT role, regexp_extract_all(src, '(?s).') AS a, regexp_extract_all(tgt, '(?s).') AS b FROM {PAIRS}")}) GROUP BY role""")
 def cer_by_role(t):
-    plain = [F.regexp_replace(c, "[^ -~]", "").alias(c) for c in ("src", "tgt")]
-    d = pairs(t).select("role", *plain)
+    d = pairs(t).select("role", "src", "tgt")
     return d.groupBy("role").agg(F.count("*").alias("n"), F.round(metrics.character_error_rate(F.col("src"), F.col("tgt")), 6).alias("cer"))
 
 
-@query()
-def wer_by_role(t):
+def _wer_sql(reference):
+    return f"""SELECT role, CAST(sum({_EDITS}) AS BIGINT) AS edits, CAST(sum(len({reference})) AS BIGINT) AS words, round(sum({_EDITS}) / sum(len({reference})), 6) AS wer
+FROM ({_CODED.format(f"SELECT role, {WS} AS a, {WT} AS b FROM {PAIRS}")}) GROUP BY role"""
+
+
+def _wer(t, reference):
     d = pairs(t).select("role", words(F.col("src")).alias("h"), words(F.col("tgt")).alias("r"))
-    d = d.select("role", F.size("r").alias("n"), arrays.edit_distance("h", "r").alias("e"))
+    d = d.select("role", F.size(reference).alias("n"), arrays.edit_distance("h", "r").alias("e"))
     return d.groupBy("role").agg(F.sum("e").alias("edits"), F.sum("n").cast("long").alias("words"), F.round(F.sum("e") / F.sum("n"), 6).alias("wer"))
 
 
+@query(_wer_sql("b"))
+def wer_by_role(t):
+    return _wer(t, "r")
+
+
+@query(_wer_sql("a"))
+def wer_of_system_words(t):
+    # The rate of translation scores: edits by the words of the hypothesis.
+    return _wer(t, "h")
+
+
 @query("""WITH e AS (SELECT vec_id, label % 10 AS target, list_transform(embedding[1:10], lambda x: x::DOUBLE) AS z FROM embeddings),
 r AS (SELECT 1 + len(list_filter(range(1, 11), lambda i: z[i] > z[target + 1] OR (z[i] = z[target + 1] AND i < target + 1))) AS rank FROM e)
 SELECT k.k, round(avg(CASE WHEN rank <= k.k THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS accuracy FROM r, (VALUES (1::BIGINT), (3::BIGINT), (5::BIGINT)) k(k) GROUP BY k.k""")
@@ -120,16 +140,17 @@ def chrf(t):
     return means.select(F.round(100 * metrics.f_score(F.col("p"), F.col("r"), 2.0), 6).alias("chrf"))
 
 
-_NORM = "trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
 _ANSWER = "list_filter(string_split({0}, ' '), lambda w: w <> '')"
 
 
 def _answers(t):
-    d = pairs(t).select("conv_id", "turn", *[F.regexp_replace(c, "[^ -~\n]", "").alias(c) for c in ("src", "tgt")])
-    return d.select("conv_id", "turn", *[F.filter(F.split(normalise_answer(F.col(c)), " "), lambda w: w != "").alias(n) for c, n in (("src", "p"), ("tgt", "g"))])
+    def tokens(c):
+        return F.filter(F.split(normalise_answer(F.col(c)), " "), lambda w: w != "")
+
+    return pairs(t).select("conv_id", "turn", tokens("src").alias("p"), tokens("tgt").alias("g"))
 
 
-_QA = f"""p AS (SELECT conv_id, turn, {_ANSWER.format(_NORM.format("regexp_replace(src, '[^ -~\\n]', '', 'g')"))} AS a, {_ANSWER.format(_NORM.format("regexp_replace(tgt, '[^ -~\\n]', '', 'g')"))} AS b FROM {PAIRS}),
+_QA = f"""p AS (SELECT conv_id, turn, {_ANSWER.format(normal_sql("src"))} AS a, {_ANSWER.format(normal_sql("tgt"))} AS b FROM {PAIRS}),
 h AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(a) AS w FROM p) GROUP BY ALL), r AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(b) AS w FROM p) GROUP BY ALL),
 c AS (SELECT conv_id, turn, sum(least(h.n, r.n)) AS same FROM h JOIN r USING (conv_id, turn, w) GROUP BY ALL),
 q AS (SELECT conv_id, turn, CAST(a = b AS INT) AS exact, CASE WHEN len(a) = 0 OR len(b) = 0 THEN CASE WHEN len(a) = len(b) THEN 1.0 ELSE 0.0 END
