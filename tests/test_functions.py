@@ -114,3 +114,41 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.read.parquet(f"{tmp_path}/out").agg(F.sum("count")).first()[0] == len(rows)
+
+
+def test_runs_groups_and_places_of_empty_and_null_arrays(spark):
+    d = spark.createDataFrame([(1, ["▁a", "b", "▁c"]), (2, []), (3, None)], "id int, p array<string>")
+    got = {r["id"]: r for r in d.select(
+        "id", arrays.whole_words("p", "▁").alias("g"), arrays.find_run("p", F.array(F.lit("b"), F.lit("▁c"))).alias("at"),
+        arrays.scatter(F.size("p"), F.array(F.lit(2), F.lit(0), F.lit(1)), F.array(F.lit(9), F.lit(8), F.lit(7)), -1).alias("s"),
+    ).collect()}
+    assert (got[1]["g"], got[1]["at"], got[1]["s"]) == ([["▁a"], ["b", "▁c"]], 1, [-1, -1, 9])
+    assert (got[2]["g"], got[2]["at"], got[2]["s"]) == ([], -1, [])
+    assert (got[3]["g"], got[3]["at"]) == (None, -1)
+
+
+def test_settings_that_do_not_parse_are_null(spark):
+    d = spark.createDataFrame([("7",), ("x",), (" 2024-05-01 ",), (None,)], "v string")
+    got = d.select(*[text.coerce(F.col("v"), k).alias(k) for k in ("int", "float", "decimal", "date")], text.coerce(F.col("v"), "int", F.lit(-1)).alias("d")).collect()
+    assert [r["int"] for r in got] == [7, None, None, None] and [r["d"] for r in got] == [7, -1, -1, -1]
+    assert [str(r["date"]) for r in got][2] == "2024-05-01"
+    one = spark.range(1).select(text.coerce(F.lit("a=1,b=2"), "dict").alias("m"), text.coerce(F.lit("No"), "bool").alias("b"), text.coerce(F.lit("p, q"), "list").alias("l")).first()
+    assert (one["m"], one["b"], one["l"]) == ({"a": "1", "b": "2"}, False, ["p", "q"])
+
+
+def test_rank_shards_are_even_and_differ_by_epoch(spark):
+    from textloom.operators.order import rank_shards
+
+    d = spark.range(101).withColumnRenamed("id", "k")
+    one, two = ({r["k"]: r["rank"] for r in rank_shards(d, "k", 4, epoch).collect()} for epoch in (0, 1))
+    assert one != two
+    for ranks in (one, two):
+        sizes = [list(ranks.values()).count(k) for k in range(4)]
+        assert sum(sizes) == 101 and max(sizes) - min(sizes) <= 1
+
+
+def test_word_edges_beyond_ascii(spark):
+    d = spark.createDataFrame([("a élan the the é.a",), ("Mr. émr. x",)], "t string")
+    got = d.select(text.normalise_answer(F.col("t")).alias("a"), text.expand_abbreviations(F.col("t")).alias("e")).collect()
+    assert got[0]["a"] == "élan éa"
+    assert got[1]["e"] == "mister émr. x"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import edit_distance
-from .sets import intersection, ngrams
+from .sets import gram_array
 
 
 def character_error_rate(hypothesis: Column, reference: Column) -> Column:
@@ -24,13 +24,18 @@ def word_error_rate(hypothesis: Column, reference: Column) -> Column:
 
 
 def matched_ngrams(pairs: DataFrame, keys: list[str], hypothesis: str, reference: str, low: int, high: int) -> DataFrame:
-    """(keys, order, correct, hypothesis_total, reference_total) of each sentence, by joining
-    its two bags of n-grams; sentences without n-grams of an order have no row for it."""
-    h, r = ngrams(pairs, keys, hypothesis, low, high), ngrams(pairs, keys, reference, low, high)
-    on = [*keys, "order"]
-    correct = intersection(h, r, [*on, "gram"]).groupBy(*on).agg(F.sum("n").alias("correct"))
-    sums = h.groupBy(*on).agg(F.sum("n").alias("hypothesis_total"))
-    return sums.join(r.groupBy(*on).agg(F.sum("n").alias("reference_total")), on, "full").join(correct, on, "left").na.fill(0)
+    """(keys, order, correct, hypothesis_total, reference_total) of each sentence; sentences
+    without n-grams of an order have no row for it. Both sides' n-grams leave their row
+    together, so that one aggregation counts them and nothing is joined."""
+    sides = F.array(
+        F.struct(gram_array(hypothesis, low, high).alias("grams"), F.lit(1).alias("h"), F.lit(0).alias("r")),
+        F.struct(gram_array(reference, low, high).alias("grams"), F.lit(0).alias("h"), F.lit(1).alias("r")),
+    )
+    each = pairs.select(*keys, F.explode(sides).alias("s")).select(*keys, F.explode("s.grams").alias("g"), "s.h", "s.r")
+    bags = each.groupBy(*keys, F.col("g.order").alias("order"), F.col("g.gram").alias("gram")).agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
+    return bags.groupBy(*keys, "order").agg(
+        F.sum(F.least("h", "r")).alias("correct"), F.sum("h").alias("hypothesis_total"), F.sum("r").alias("reference_total")
+    )
 
 
 def bleu(correct: list[Column], total: list[Column], hypothesis_length: Column, reference_length: Column, *, smoothing: str = "exp", add: float = 1.0) -> Column:
@@ -120,9 +125,7 @@ def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 def token_f1(pairs: DataFrame, keys: list[str], predicted: str, gold: str) -> DataFrame:
     """(keys, exact, f1) of answers as arrays of normalised tokens; two empty answers agree."""
     n_p, n_g = F.size(predicted), F.size(gold)
-    same = intersection(
-        ngrams(pairs, keys, predicted, 1, 1), ngrams(pairs, keys, gold, 1, 1), [*keys, "order", "gram"]
-    ).groupBy(*keys).agg(F.sum("n").alias("same"))
+    same = matched_ngrams(pairs, keys, predicted, gold, 1, 1).select(*keys, F.col("correct").alias("same"))
     out = pairs.join(same, keys, "left").withColumn("same", F.coalesce("same", F.lit(0)))
     empty = (n_p == 0) | (n_g == 0)
     f1 = F.when(empty, (n_p == n_g).cast("double")).otherwise(f_score(F.col("same") / n_p, F.col("same") / n_g))
