@@ -77,3 +77,34 @@ def test_edges(spark, documents):
     assert all(r["kept"] for r in decontaminate(documents(docs), none).collect())
     found = decontaminate(documents(docs), some).collect()
     assert len(found) == 4 and sorted((r["doc_id"] or 0, r["kept"]) for r in found) == [(0, False), (1, False), (1, False), (2, True)]
+
+
+def test_every_pair_that_reaches_the_score_is_found(spark, documents):
+    draw = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(400)]
+    items = [(k, [draw.choice(vocabulary) for _ in range(draw.choice([4, 5, 9, 30, 50]))]) for k in range(12)]
+    docs = []
+    for k in range(240):
+        words = list(items[k % 12][1])
+        edit = k // 12 % 6
+        if edit == 1:  # every fourth word replaced
+            words[3::4] = [draw.choice(vocabulary) for _ in words[3::4]]
+        if edit == 2:  # every third
+            words[2::3] = [draw.choice(vocabulary) for _ in words[2::3]]
+        if edit == 3:  # a word between any two
+            words = [w for word in words for w in (word, draw.choice(vocabulary))]
+        if edit == 4:  # one short run is left
+            words = words[: len(words) // 2 + 1]
+        if edit == 5:
+            words = [w for w in words if draw.random() < 0.7]
+        around = [[draw.choice(vocabulary) for _ in range(draw.randrange(60))] for _ in range(2)]
+        docs.append((k, around[0] + words + around[1]))
+    want = {}
+    for k, words in docs:
+        for item, own in items:
+            score = plain_alignment(own, words) / (MATCH * len(own))
+            if score >= 0.45:
+                want[k, item] = score
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    found = benchmark_matches(documents([(k, " ".join(w)) for k, w in docs]), benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in found} == want

@@ -1,11 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, then
+"""Benchmark decontamination: word-pair seeds join passages to test items, then
 Smith-Waterman alignment scores paraphrased or edited copies.
 
-One pass over the corpus finds the documents that share a seed (a run of four words) with
-a test item; the seeds' document frequencies are counted over all of them. A document and
-an item are aligned if they share a seed that is rare, or three seeds whatever their
-frequency. Seeds go to the tasks in blocks of items of a fixed size, so a benchmark of any
-size is searched against all documents without shuffling them."""
+A seed is two words of an item, one or two places apart, that stand one or two places
+apart in a document. Between two matched words of an alignment that are no seed lie two
+errors or more, so one that reaches LEAST_SCORE of an item of n words holds at least
+LEAST_SCORE * n - 1 seeds within a bounded stretch of the document. All pairs with so many
+are aligned, whatever the seeds' frequency: no pair that can reach the score is left out.
+Seeds go to the tasks in blocks of items of a fixed size, so a benchmark of any size is
+searched against all documents without shuffling them."""
 
 from __future__ import annotations
 
@@ -16,13 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf, WordHasher, arrow_rows, blocks_of, ngram_hashes
+from .common import WordHasher, arrow_rows, blocks_of, ngram_hashes
 
-SEED_WORDS, RARE_DOCS, RARE_SHARE, COMMON_SEEDS = 4, 20, 1e-4, 3
+#: Items with fewer words match nothing.
+LEAST_WORDS = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.45
 #: Characters of test items that one block holds.
 BLOCK_CHARS = 16_000_000
+#: Places of items that are looked at in one go.
+PLACES = 2_000_000
 
 
 def local_alignment(item: np.ndarray, window: np.ndarray) -> int:
@@ -39,85 +44,109 @@ def local_alignment(item: np.ndarray, window: np.ndarray) -> int:
     return best
 
 
+def pair_hashes(words: np.ndarray, apart: int) -> np.ndarray:
+    """Hash of each word with the one `apart` places on."""
+    if apart == 1:
+        return ngram_hashes(words, 2)
+    return ngram_hashes(np.stack([words[:-apart], words[apart:]], 1).ravel(), 2)[::2] if len(words) > apart else words[:0]
+
+
 class Items:
-    """Test items of one block: their words, and their seeds in order."""
+    """Test items of one block: their words, and the places of their seeds in order."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         hasher = WordHasher(plain=True)
-        self.ids = [r[0] for r in rows]
-        self.words = [hasher.words((r[1] or "").encode()) for r in rows]
-        seeds = [ngram_hashes(w, SEED_WORDS) for w in self.words]
+        split = [(r[0], hasher.words((r[1] or "").encode())) for r in rows]
+        split = [(i, w) for i, w in split if len(w) >= LEAST_WORDS]
+        self.ids, self.words = [i for i, _ in split], [w for _, w in split]
+        sizes = np.array([len(w) for w in self.words], np.int64)
+        #: Seeds that an alignment of LEAST_SCORE holds at least, and words of a document that it spans at most.
+        self.least = np.maximum(1, np.ceil(LEAST_SCORE * sizes - 1 - 1e-9)).astype(np.int64)
+        self.span = np.ceil((3 - 2 * LEAST_SCORE) * sizes).astype(np.int64)
+        seeds = [pair_hashes(w, apart) for w in self.words for apart in (1, 2)]
         every = np.concatenate([*seeds, np.zeros(0, np.uint64)])
-        owner = np.repeat(np.arange(len(rows)), [len(s) for s in seeds])
-        order = np.lexsort((owner, every))
+        owner = np.repeat(np.repeat(np.arange(len(split)), 2), [len(s) for s in seeds])
+        place = np.concatenate([*(np.arange(len(s)) for s in seeds), np.zeros(0, np.int64)])
+        order = np.lexsort((place, owner, every))
         self.seeds, first = np.unique(every[order], return_index=True)
         self.first = np.append(first, len(order))
-        self.owner = owner[order]
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[(self.seeds & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        self.owner, self.place = owner[order], place[order]
+        self.mask = np.uint64((1 << max(20, (16 * len(self.seeds)).bit_length())) - 1)
+        self.filter = np.zeros(int(self.mask) + 1, bool)
+        self.filter[(self.seeds & self.mask).astype(np.int64)] = True
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places in grams, numbers of the seeds there)."""
-        at = np.flatnonzero(self.filter[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        at = np.flatnonzero(self.filter[(grams & self.mask).astype(np.int64)])
         if not len(at) or not len(self.seeds):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         number = np.minimum(np.searchsorted(self.seeds, grams[at]), len(self.seeds) - 1)
         right = self.seeds[number] == grams[at]
         return at[right], number[right]
 
-
-def _seeded(batches, items: Items):
-    """(id, hash, text) -> the rows that hold a seed, with the numbers of their seeds."""
+    def sharing(self, words: np.ndarray, doc: np.ndarray):
+        """Yields (document, item, places of the seeds in words, places in the item) of the pairs that
+        share enough seeds; doc: each word's document, ascending."""
+        found = []
+        for apart in (1, 2):
+            at, number = self.hits(pair_hashes(words, apart))
+            inside = doc[at] == doc[at + apart]
+            found.append((at[inside], number[inside]))
+        at, number = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.argsort(doc[at], kind="stable")
+        at, number = at[order], number[order]
+        many = self.first[number + 1] - self.first[number]
+        total, ends = np.cumsum(many), np.append(np.flatnonzero(np.diff(doc[at])) + 1, len(at))
+        lo = 0
+        while lo < len(at):
+            # Whole documents, as many as have PLACES places together, at least one.
+            most = np.searchsorted(total, (total[lo - 1] if lo else 0) + PLACES, "right")
+            hi = int(ends[max(np.searchsorted(ends, most, "right") - 1, np.searchsorted(ends, lo, "right"))])
+            n = many[lo:hi]
+            where = np.repeat(at[lo:hi], n)
+            row = np.repeat(self.first[number[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            item = self.owner[row]
+            _, pair, count = np.unique(doc[where] * len(self.ids) + item, return_inverse=True, return_counts=True)
+            enough = np.flatnonzero(count[pair] >= self.least[item])
+            enough = enough[np.lexsort((where[enough], pair[enough]))]
+            for part in np.split(enough, np.flatnonzero(np.diff(pair[enough])) + 1) if len(enough) else ():
+                yield int(doc[where[part[0]]]), int(item[part[0]]), where[part], self.place[row[part]]
+            lo = hi
+
+    def score(self, item: int, words: np.ndarray, at: np.ndarray, place: np.ndarray) -> float:
+        """The best alignment's part of the item's own score, 0 if it is below LEAST_SCORE;
+        at: ascending places of seeds in a document's words, place: theirs in the item."""
+        least, span = int(self.least[item]), int(self.span[item])
+        starts = np.unique(at)
+        starts = starts[: max(0, len(starts) - least + 1)][starts[least - 1 :] - starts[: max(0, len(starts) - least + 1)] <= span]
+        want, best = self.words[item], 0
+        for part in np.split(starts, np.flatnonzero(np.diff(starts) > 2 * span) + 1):
+            if not len(part):
+                continue
+            lo, hi = max(0, int(part[0]) - span), int(part[-1]) + span + 1
+            if len(np.unique(place[(at >= lo) & (at < hi)])) >= least:
+                best = max(best, local_alignment(want, words[lo:hi]))
+        score = best / (MATCH * len(want))
+        return score if score >= LEAST_SCORE else 0.0
+
+
+def _aligned(batches, items: Items):
+    """(id, hash, text) -> (id, hash, item, score) of the pairs that reach LEAST_SCORE."""
     hasher = WordHasher(plain=True)
     for batch in batches:
         texts = [(t or "").encode() for t in batch.column(2).to_pylist()]
-        keep, seeds = np.zeros(len(texts), bool), []
+        keys, marks, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
         for lo, hi in blocks_of(texts):
             if hi - lo == 1:
                 words = hasher.words(texts[lo])
                 counts = np.array([len(words)])
             else:
                 words, counts = hasher.many(texts[lo:hi])
-            places, numbers = items.hits(ngram_hashes(words, SEED_WORDS))
-            ends = np.cumsum(counts)
-            doc = np.searchsorted(ends, places, "right")
-            inside = places + SEED_WORDS <= ends[np.minimum(doc, len(ends) - 1)]
-            doc, numbers = doc[inside], numbers[inside]
-            for k in np.unique(doc):
-                keep[lo + k] = True
-                seeds.append(np.unique(numbers[doc == k]).tolist())
-        rows = batch.filter(pa.array(keep))
-        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(seeds, pa.list_(pa.int32()))], ["id", "hash", "text", "seeds"])
-
-
-def _aligned(batches, items: Items, rare: np.ndarray):
-    """The rows that hold seeds -> (id, hash, item, score) of the pairs that reach LEAST_SCORE."""
-    hasher = WordHasher(plain=True)
-    for batch in batches:
-        out = []
-        for key, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            words = hasher.words(text.encode())
-            places, numbers = items.hits(ngram_hashes(words, SEED_WORDS))
-            sharing: dict[int, list[tuple[int, int]]] = {}
-            for place, number in zip(places.tolist(), numbers.tolist(), strict=True):
-                for item in items.owner[items.first[number] : items.first[number + 1]]:
-                    sharing.setdefault(int(item), []).append((place, number))
-            for item, found in sharing.items():
-                numbers_here = {n for _, n in found}
-                if not any(rare[n] for n in numbers_here) and len(numbers_here) < COMMON_SEEDS:
-                    continue
-                want = items.words[item]
-                reach, best, lo, hi = len(want) + 8, 0, None, None
-                for place, _ in [*found, (1 << 60, 0)]:
-                    if lo is None:
-                        lo = hi = place
-                    elif place - hi > reach:
-                        best = max(best, local_alignment(want, words[max(0, lo - reach) : hi + SEED_WORDS + reach]))
-                        lo = hi = place
-                    hi = place
-                score = best / (MATCH * len(want))
-                if score >= LEAST_SCORE:
-                    out.append((key, mark, items.ids[item], score))
+            first = np.cumsum(counts) - counts
+            for doc, item, at, place in items.sharing(words, np.repeat(np.arange(hi - lo), counts)):
+                score = items.score(item, words[first[doc] : first[doc] + counts[doc]], at - first[doc], place)
+                if score:
+                    out.append((keys[lo + doc], marks[lo + doc], items.ids[item], score))
         columns = list(zip(*out, strict=True)) if out else [(), (), (), ()]
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["id", "hash", "item_id", "score"]
@@ -130,27 +159,21 @@ def benchmark_matches(
     """(doc_id, text_hash, item_id, score) of every document and test item that align with a
     score (Smith-Waterman over words, part of the item's own) of LEAST_SCORE or more.
 
-    Words are compared A-Z lower-cased and without ASCII marks. Items and documents with
-    fewer than SEED_WORDS words, null and empty texts match nothing. text_hash (xxhash64
+    Words are compared A-Z lower-cased and without ASCII marks. Items with fewer than
+    LEAST_WORDS words, null and empty texts match nothing. text_hash (xxhash64
     of the text) tells rows of one id apart; equal rows appear once. Empty tables give no rows."""
     spark = docs.sparkSession
     arrow_rows(spark)
-    shelf = Shelf(spark, "decontaminate")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"), F.col(text_col).cast("string").alias("text"))
     tests = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).filter("text is not null")
-    chars, n_docs = tests.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0], rows.count()
-    blocks = chars // BLOCK_CHARS + 1
+    blocks = tests.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // BLOCK_CHARS + 1
     found = None
     for k in range(blocks):
         part = tests.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("item", "text").collect()
         if not part:
             continue
         items = Items([(r["item"], r["text"]) for r in part])
-        seeded = shelf.put(rows.mapInArrow(partial(_seeded, items=items), "id long, hash long, text string, seeds array<int>"), f"seeded{k}")
-        often = seeded.select(F.explode("seeds").alias("seed")).groupBy("seed").count().filter(F.col("count") > max(RARE_DOCS, RARE_SHARE * n_docs))
-        rare = np.ones(len(items.seeds), bool)
-        rare[[r["seed"] for r in often.select("seed").collect()]] = False  # at most the block's seeds
-        here = seeded.select("id", "hash", "text").mapInArrow(partial(_aligned, items=items, rare=rare), "id long, hash long, item_id long, score double")
+        here = rows.mapInArrow(partial(_aligned, items=items), "id long, hash long, item_id long, score double")
         found = here if found is None else found.union(here)
     if found is None:
         return spark.createDataFrame([], "doc_id long, text_hash long, item_id long, score double")
