@@ -26,8 +26,8 @@ def ranked(df: DataFrame, order: str, out: str = "rank", width: int = 1000) -> D
 
 
 def exact_split(df: DataFrame, order: str, share: float) -> DataFrame:
-    """df with `split`: 'train' for exactly floor(rows * share) of the rows, 'dev' for the rest;
-    rows are dealt by a permutation of their ranks by arithmetic."""
+    """df with `split`: 'train' for exactly floor(rows * share) of the rows, the first by `order`,
+    'dev' for the rest; nothing is drawn at random."""
     n = df.count()
     cut = int(n * share)
     placed = ranked(df, order, "__rank")
