@@ -4,7 +4,8 @@ import random
 
 import numpy as np
 
-from textloom.llm.decontaminate import GAP, MATCH, MISMATCH, benchmark_matches, decontaminate, local_alignment
+from textloom.llm import decontaminate as module
+from textloom.llm.decontaminate import GAP, MATCH, MISMATCH, Items, benchmark_matches, decontaminate, local_alignment
 
 
 def plain_alignment(a, b):
@@ -108,3 +109,40 @@ def test_every_pair_that_reaches_the_score_is_found(spark, documents):
     benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
     found = benchmark_matches(documents([(k, " ".join(w)) for k, w in docs]), benchmark).collect()
     assert {(r["doc_id"], r["item_id"]): r["score"] for r in found} == want
+
+
+def test_short_items_in_many_documents(spark, documents):
+    items = [(1, "purple lanterns sing tonight"), (2, "never trust a sleepy otter"), (3, "which of these rivers runs north")]
+    docs = [(3 * k + j, f"doc {k} begins here {text.upper() if k % 2 else text} and it goes on {k}") for k in range(700) for j, (_, text) in enumerate(items)]
+    found = benchmark_matches(documents(docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(3 * k + j, j + 1) for k in range(700) for j in range(3)}
+
+
+def test_edited_copies(spark, documents):
+    """A copy with a third of its words replaced at random still scores 0.5 at least; so many edits are found."""
+    draw = random.Random(4)
+    vocabulary = [f"v{k}" for k in range(5000)]
+    items = [(k, [draw.choice(vocabulary) for _ in range(draw.randrange(12, 60))]) for k in range(60)]
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    docs, want = [], {}
+    for k, words in items:
+        for j, share in enumerate((0.1, 0.2, 0.3)):
+            copy = [draw.choice(vocabulary) if draw.random() < share else w for w in words]
+            around = [[draw.choice(vocabulary) for _ in range(80)] for _ in range(2)]
+            docs.append((10 * k + j, " ".join(around[0] + copy + around[1])))
+            want[10 * k + j] = share
+    found = {r["doc_id"] for r in benchmark_matches(documents(docs), benchmark).collect()}
+    for share in (0.1, 0.2, 0.3):
+        own = [k for k, s in want.items() if s == share]
+        assert len(found & set(own)) >= 0.9 * len(own)
+
+
+def test_a_phrase_of_many_items_aligns_with_short_ones_alone(monkeypatch):
+    draw = random.Random(5)
+    phrase = "which of the following statements is".split()
+    rows = [(k, " ".join(phrase + [f"x{draw.randrange(10**6)}" for _ in range(30)])) for k in range(300)]
+    items, calls = Items(rows), []
+    monkeypatch.setattr(module, "local_alignment", lambda a, b: calls.append(1) or local_alignment(a, b))
+    words = module.WordHasher(plain=True).words(" ".join(["y"] * 50 + phrase + ["z"] * 50).encode())
+    assert not [s for _, item, at, covered in items.sharing(words, np.zeros(len(words), np.int64)) if (s := items.score(item, words, at, covered))]
+    assert not calls

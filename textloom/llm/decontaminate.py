@@ -3,9 +3,11 @@ Smith-Waterman alignment scores paraphrased or edited copies.
 
 A seed is two words of an item, one or two places apart, that stand one or two places
 apart in a document. Between two matched words of an alignment that are no seed lie two
-errors or more, so one that reaches LEAST_SCORE of an item of n words holds at least
-LEAST_SCORE * n - 1 seeds within a bounded stretch of the document. All pairs with so many
-are aligned, whatever the seeds' frequency: no pair that can reach the score is left out.
+errors or more, which cost what a match gains: an alignment never scores more than the words
+that its seeds cover, so one that reaches LEAST_SCORE of an item of n words covers at least
+LEAST_SCORE * n words of the item by seeds within a bounded stretch of the document. All pairs
+that do are aligned, whatever the seeds' frequency: no pair that can reach the score is left
+out, and a phrase that many items share starts no alignment with items that are much longer.
 Seeds go to the tasks in blocks of items of a fixed size, so a benchmark of any size is
 searched against all documents without shuffling them."""
 
@@ -60,8 +62,8 @@ class Items:
         split = [(i, w) for i, w in split if len(w) >= LEAST_WORDS]
         self.ids, self.words = [i for i, _ in split], [w for _, w in split]
         sizes = np.array([len(w) for w in self.words], np.int64)
-        #: Seeds that an alignment of LEAST_SCORE holds at least, and words of a document that it spans at most.
-        self.least = np.maximum(1, np.ceil(LEAST_SCORE * sizes - 1 - 1e-9)).astype(np.int64)
+        #: Words of the item that seeds of an alignment of LEAST_SCORE cover at least, and words of a document that it spans at most.
+        self.least = np.maximum(2, np.ceil(LEAST_SCORE * sizes - 1e-9)).astype(np.int64)
         self.span = np.ceil((3 - 2 * LEAST_SCORE) * sizes).astype(np.int64)
         seeds = [pair_hashes(w, apart) for w in self.words for apart in (1, 2)]
         every = np.concatenate([*seeds, np.zeros(0, np.uint64)])
@@ -71,6 +73,7 @@ class Items:
         self.seeds, first = np.unique(every[order], return_index=True)
         self.first = np.append(first, len(order))
         self.owner, self.place = owner[order], place[order]
+        self.apart = np.concatenate([*(np.full(len(s), 1 + k % 2) for k, s in enumerate(seeds)), np.zeros(0, np.int64)])[order]
         self.mask = np.uint64((1 << max(20, (16 * len(self.seeds)).bit_length())) - 1)
         self.filter = np.zeros(int(self.mask) + 1, bool)
         self.filter[(self.seeds & self.mask).astype(np.int64)] = True
@@ -85,8 +88,8 @@ class Items:
         return at[right], number[right]
 
     def sharing(self, words: np.ndarray, doc: np.ndarray):
-        """Yields (document, item, places of the seeds in words, places in the item) of the pairs that
-        share enough seeds; doc: each word's document, ascending."""
+        """Yields (document, item, places of the seeds in words, [their first and second places in the
+        item]) of the pairs that share enough seeds; doc: each word's document, ascending."""
         found = []
         for apart in (1, 2):
             at, number = self.hits(pair_hashes(words, apart))
@@ -107,24 +110,29 @@ class Items:
             row = np.repeat(self.first[number[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             item = self.owner[row]
             _, pair, count = np.unique(doc[where] * len(self.ids) + item, return_inverse=True, return_counts=True)
-            enough = np.flatnonzero(count[pair] >= self.least[item])
+            # Each seed covers two words at most.
+            enough = np.flatnonzero(2 * count[pair] >= self.least[item])
             enough = enough[np.lexsort((where[enough], pair[enough]))]
             for part in np.split(enough, np.flatnonzero(np.diff(pair[enough])) + 1) if len(enough) else ():
-                yield int(doc[where[part[0]]]), int(item[part[0]]), where[part], self.place[row[part]]
+                first = self.place[row[part]]
+                covered = np.stack([first, first + self.apart[row[part]]])
+                if len(np.unique(covered)) >= self.least[item[part[0]]]:
+                    yield int(doc[where[part[0]]]), int(item[part[0]]), where[part], covered
             lo = hi
 
-    def score(self, item: int, words: np.ndarray, at: np.ndarray, place: np.ndarray) -> float:
+    def score(self, item: int, words: np.ndarray, at: np.ndarray, covered: np.ndarray) -> float:
         """The best alignment's part of the item's own score, 0 if it is below LEAST_SCORE;
-        at: ascending places of seeds in a document's words, place: theirs in the item."""
+        at: ascending places of seeds in a document's words, covered: the item's words that they cover."""
         least, span = int(self.least[item]), int(self.span[item])
-        starts = np.unique(at)
-        starts = starts[: max(0, len(starts) - least + 1)][starts[least - 1 :] - starts[: max(0, len(starts) - least + 1)] <= span]
+        # Along an alignment at least half of the covered words begin a seed: so many begin in the stretch.
+        starts, many = np.unique(at), -(-least // 2)
+        starts = starts[: max(0, len(starts) - many + 1)][starts[many - 1 :] - starts[: max(0, len(starts) - many + 1)] <= span]
         want, best = self.words[item], 0
         for part in np.split(starts, np.flatnonzero(np.diff(starts) > 2 * span) + 1):
             if not len(part):
                 continue
             lo, hi = max(0, int(part[0]) - span), int(part[-1]) + span + 1
-            if len(np.unique(place[(at >= lo) & (at < hi)])) >= least:
+            if len(np.unique(covered[:, (at >= lo) & (at < hi)])) >= least:
                 best = max(best, local_alignment(want, words[lo:hi]))
         score = best / (MATCH * len(want))
         return score if score >= LEAST_SCORE else 0.0
@@ -143,8 +151,8 @@ def _aligned(batches, items: Items):
             else:
                 words, counts = hasher.many(texts[lo:hi])
             first = np.cumsum(counts) - counts
-            for doc, item, at, place in items.sharing(words, np.repeat(np.arange(hi - lo), counts)):
-                score = items.score(item, words[first[doc] : first[doc] + counts[doc]], at - first[doc], place)
+            for doc, item, at, covered in items.sharing(words, np.repeat(np.arange(hi - lo), counts)):
+                score = items.score(item, words[first[doc] : first[doc] + counts[doc]], at - first[doc], covered)
                 if score:
                     out.append((keys[lo + doc], marks[lo + doc], items.ids[item], score))
         columns = list(zip(*out, strict=True)) if out else [(), (), (), ()]
