@@ -82,3 +82,14 @@ def test_edges(documents):
     assert best_fit_packing(documents([])).count() == 0
     found = best_fit_packing(documents([(None, "a b"), (None, None), (1, "x"), (1, "x")])).collect()
     assert sum(r["length"] for r in found) == 3 + 1 + 2 + 2
+
+
+def test_special_tokens_are_those_of_tokenizers_by_default(documents):
+    plain = Tokenizer.from_file(default_vocabulary()[0])
+    texts = ["alpha <|endoftext|> beta", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n", "<|endoftext", "no such token", "z" * 3000 + "<|endoftext|>", None]
+    rows = list(enumerate(texts))
+    found = best_fit_packing(documents(rows), with_ids=True, special_tokens=True).collect()
+    for k, text in rows:
+        own = sorted((r for r in found if r["doc_id"] == k), key=lambda r: r["piece"])
+        ids = np.frombuffer(b"".join(bytes(r["ids"]) for r in own), "<u4").tolist()
+        assert ids == [*plain.encode(text or "", add_special_tokens=False).ids, 2]

@@ -34,35 +34,44 @@ def default_vocabulary() -> tuple[str, str]:
 _LONG_RUN = re.compile(r"\S{2000}")
 
 
-@lru_cache(maxsize=2)
-def _encoder(json_path: str, ranks_path: str):
-    """text -> uint32 ids. Both libraries give the same ids from the one vocabulary, special
-    tokens as plain text (not the default of tokenizers); the rank-based one is four times as
-    fast on ordinary texts."""
+@lru_cache(maxsize=4)
+def _encoder(json_path: str, ranks_path: str, special_tokens: bool = False):
+    """text -> uint32 ids. special_tokens: what the vocabulary adds to its merges (<|endoftext|>)
+    is one id where a text spells it, as by tokenizers' default; else it is encoded like other
+    text. For the rest both libraries give the same ids from the one vocabulary; the rank-based
+    one is four times as fast on ordinary texts."""
+    import json
+
     import public_tokenizers
     import tiktoken
 
+    added = re.compile("(?!)")
+    if special_tokens:
+        with open(json_path, encoding="utf-8") as f:
+            contents = [t["content"] for t in json.load(f).get("added_tokens", [])]
+        added = re.compile("|".join(map(re.escape, contents)) or "(?!)")
+
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
     quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     slow: list = []
 
     def encode(text: str) -> np.ndarray:
-        if not _LONG_RUN.search(text):
+        if not _LONG_RUN.search(text) and not added.search(text):
             return np.array(quick.encode_ordinary(text), np.uint32)
         if not slow:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
             slow.append(Tokenizer.from_file(json_path))
-            slow[0].encode_special_tokens = True
+            slow[0].encode_special_tokens = not special_tokens
         return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode
 
 
-def _pieces(batches, vocabulary: tuple[str, str], size: int, end_id: int):
-    encode = _encoder(*vocabulary)
+def _pieces(batches, vocabulary: tuple[str, str], size: int, end_id: int, special_tokens: bool):
+    encode = _encoder(*vocabulary, special_tokens)
     for batch in batches:
         seen: dict[str, np.ndarray] = {}
         doc, piece, start, ids = [], [], [], []
@@ -84,12 +93,12 @@ def _pieces(batches, vocabulary: tuple[str, str], size: int, end_id: int):
         )
 
 
-def pieces(docs: DataFrame, id_col: str, text_col: str, size: int, end_id: int, vocabulary) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str, text_col: str, size: int, end_id: int, vocabulary, special_tokens: bool = False) -> DataFrame:
     """(id, piece, start, length, ids: little-endian unsigned 32-bit) of each document: its
     token ids, then end_id, cut into pieces of `size` of which the first may be shorter."""
     arrow_rows(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(partial(_pieces, vocabulary=vocabulary, size=size, end_id=end_id), PIECES)
+    return rows.mapInArrow(partial(_pieces, vocabulary=vocabulary, size=size, end_id=end_id, special_tokens=special_tokens), PIECES)
 
 
 class OpenBins:
@@ -142,16 +151,17 @@ def _packed(batches, size: int, open_bins: int):
 
 def best_fit_packing(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 1024, end_id: int = 2, open_bins: int = 1024,
-    bucket_pieces: int = 2000, vocabulary: tuple[str, str] | None = None, with_ids: bool = False,
+    bucket_pieces: int = 2000, vocabulary: tuple[str, str] | None = None, with_ids: bool = False, special_tokens: bool = False,
 ) -> DataFrame:
     """Returns (doc_id, piece, start, length, ids_crc32, sequence_id, offset) and, with
-    with_ids, the token ids (binary, little-endian unsigned 32-bit) of every piece.
+    with_ids, the token ids (binary, little-endian unsigned 32-bit) of every piece. special_tokens:
+    see _encoder().
 
     Null and empty texts are the single token end_id. Null ids are kept as null. Repeated
     rows are each packed. Other columns are not read. An empty table gives no rows. No
     token is dropped: a sequence's pieces lie gapless from offset 0."""
     shelf = Shelf(docs.sparkSession, "packing")
-    cut = pieces(docs, id_col, text_col, size, end_id, vocabulary or default_vocabulary())
+    cut = pieces(docs, id_col, text_col, size, end_id, vocabulary or default_vocabulary(), special_tokens)
     kept = ["id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), *(["ids"] if with_ids else [])]
     cut = shelf.put(cut.select(F.monotonically_increasing_id().alias("row"), *kept), "pieces")
     short = cut.filter(F.col("length") < size)

@@ -52,7 +52,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit_packing(table(spark, sf_dir, "documents"))
+    return best_fit_packing(table(spark, sf_dir, "documents"), special_tokens=True)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
