@@ -67,3 +67,12 @@ def test_edges(spark):
     assert filter_urls(spark.createDataFrame([], schema)).count() == 0
     found = filter_urls(spark.createDataFrame([(None, None), (1, "x://a.b/c"), (1, "x://a.b/c")], schema)).collect()
     assert len(found) == 3 and all(r["verdict"] == "allow" and r["rule"] is None for r in found)
+
+
+def test_the_model_reads_query_and_fragment(spark):
+    good = [f"https://a.net/de/x?topic=garden{k}#history" for k in range(200)]
+    bad = [f"https://b.com/en/x?ref=casino{k}#poker" for k in range(200)]
+    other = [(f"https://c.info/x?topic=garden{k}#history", "allow") for k in range(300, 320)] + [(f"https://c.info/x?ref=casino{k}#poker", "block") for k in range(300, 320)]
+    pages = spark.createDataFrame(list(enumerate([*good, *bad, *(u for u, _ in other)])), "page_id long, url string")
+    verdict = {r["page_id"]: r["verdict"] for r in filter_urls(pages).collect()}
+    assert [verdict[400 + k] for k in range(40)] == [want for _, want in other]

@@ -1,8 +1,9 @@
 """URL filters: explicit rules first; for the rest a character language-model ratio.
 
 Two smoothed variable-order Markov models, of accepted and of rejected URLs, are counted
-over all URLs that the rules decide (exploded 4-grams, pre-aggregated). The alphabet of 32
-symbols bounds the counts, so the driver turns at most 32^4 sums into a fixed table of log
+over four fifths of the URLs that the rules decide (exploded 4-grams, pre-aggregated); the other
+fifth, by a hash of the URL, calibrates the threshold. They read all of a URL after the scheme. The
+alphabet of 32 symbols bounds the counts, so the driver turns at most 32^4 sums into a fixed table of log
 ratios: contexts of three characters where they make up 1/4096 of the text or more (at
 most 4096 of them), else of two, each interpolated down to one (Witten-Bell). Scoring is a
 fold over a URL's characters with DataFrame functions; nothing is shuffled for it."""
@@ -29,11 +30,15 @@ CONTEXTS = 4096
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def after_scheme(url: Column) -> Column:
+    """The URL after its first ://; empty for null or without."""
+    at = F.instr(url, "://")
+    return F.coalesce(F.when(at > 0, F.substr(url, at + 3)), F.lit(""))
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """The host, A-Z lower-cased, and the path; both empty for null or without ://."""
-    at = F.instr(url, "://")
-    rest = F.when(at > 0, F.substr(url, at + 3)).otherwise(F.lit(""))
-    rest = F.coalesce(rest, F.lit(""))
+    rest = after_scheme(url)
     host = F.regexp_extract(rest, "^[^/?#]*", 0)
     path = F.regexp_extract(F.substr(rest, F.length(host) + 1), "^[^?#]*", 0)
     return F.translate(host, UPPER, LOWER), path
@@ -48,8 +53,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def _codes(host: Column, path: Column) -> Column:
-    plain = F.translate(F.concat(host, F.translate(path, UPPER, LOWER)), "123456789", "000000000")
+def _codes(rest: Column) -> Column:
+    plain = F.translate(F.translate(rest, UPPER, LOWER), "123456789", "000000000")
     plain = F.regexp_replace(plain, "[^a-z0/.-]", "_")
     return F.transform(F.regexp_extract_all(F.concat(plain, F.lit("^")), F.lit("(?s)."), F.lit(0)), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
 
@@ -131,16 +136,21 @@ def score_of(codes: Column, table: tuple[list[float], list[int], list[float]]) -
 
 
 def calibrated(scores: DataFrame) -> float:
-    """(verdict, score) -> the threshold that parts accepted from rejected best (greatest
-    sum of both right shares), from exact counts in steps of 0.01."""
-    rows = scores.groupBy("verdict", F.floor(F.least(F.greatest(F.col("score"), F.lit(-5.0)), F.lit(5.0)) * 100).cast("int").alias("step")).count().collect()
+    """(verdict, held, score) -> the threshold that parts accepted from rejected best (greatest
+    sum of both right shares), from exact counts in steps of 0.01 of the held-out URLs; of all,
+    if these lack a verdict."""
+    every = scores.groupBy("held", "verdict", F.floor(F.least(F.greatest(F.col("score"), F.lit(-5.0)), F.lit(5.0)) * 100).cast("int").alias("step")).count().collect()
+    rows = [r for r in every if r["held"]]
+    if len({r["verdict"] for r in rows}) < 2:
+        rows = every
     sums = {v: sum(r["count"] for r in rows if r["verdict"] == v) for v in ("allow", "block")}
     if not all(sums.values()):
         return -math.inf
     good, bad, best, cut = 1.0, 1.0, 1.0, -math.inf
     by_step: dict[int, dict[str, int]] = {}
     for r in rows:
-        by_step.setdefault(r["step"], {})[r["verdict"]] = r["count"]
+        own = by_step.setdefault(r["step"], {})
+        own[r["verdict"]] = own.get(r["verdict"], 0) + r["count"]
     for step in sorted(by_step):
         good -= by_step[step].get("allow", 0) / sums["allow"]
         bad -= by_step[step].get("block", 0) / sums["block"]
@@ -157,14 +167,18 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     scored like an empty URL. Where the rules accept or reject nothing, all else is allowed.
     Repeated rows are each returned; other columns are not read; an empty table gives no rows."""
     host, path = host_and_path(F.col(url_col).cast("string"))
-    d = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    rest = after_scheme(F.col(url_col).cast("string"))
+    d = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), rest.alias("rest"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    d = d.select("*", rule.alias("rule"), verdict.alias("by_rule"), _codes(F.col("host"), F.col("path")).alias("codes"))
-    labelled = d.filter("rule is not null").select(F.col("by_rule").alias("verdict"), "codes")
-    grams = _counts(labelled)
+    d = d.select("*", rule.alias("rule"), verdict.alias("by_rule"), _codes(F.col("rest")).alias("codes"))
+    held = F.pmod(F.xxhash64("rest"), F.lit(5)) == 4
+    labelled = d.filter("rule is not null").select(F.col("by_rule").alias("verdict"), "codes", held.alias("held"))
+    grams = _counts(labelled.filter("not held"))
+    if not all(grams.values()):  # a handful of URLs, all of one side held out
+        grams = _counts(labelled)
     if not all(grams.values()):
         return d.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
     score = score_of(F.col("codes"), ratio_table(grams))
-    cut = calibrated(labelled.select("verdict", score.alias("score")))
+    cut = calibrated(labelled.select("verdict", "held", score.alias("score")))
     d = d.select("*", score.alias("score"))
     return d.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("score") >= F.lit(cut), "allow").otherwise("block")).alias("verdict"), "score")
