@@ -126,8 +126,9 @@ def score_quality(
     """(doc_id, p_text, p_meta, score, kept) for each row of docs.
 
     score is the calibrated probability of label 1; kept says that it reaches the threshold
-    below which a share `lost` of the good held-out documents lies. A fifth of the labelled
-    documents is held out, for calibration and threshold alone. Without labels of both kinds
+    below which a share `lost` of the good held-out documents lies. Of the labelled documents a
+    fifth calibrates both views and fits their combination, another fifth calibrates that and
+    sets the threshold; neither trains a view (one part for both, where labels are too few). Without labels of both kinds
     scores are null and every row is kept. Null and empty texts are an empty vector; null
     metadata is a value of its own; labels that are null or not 0 and 1 are not used. Repeated
     rows are each returned; an empty table gives no rows."""
@@ -145,16 +146,20 @@ def score_quality(
     known = known.groupBy("id").agg(F.min("y").alias("y"))
     n = known.count()
     # A bounded sample by a hash of the id: about `labelled`, and never more.
-    sample = known.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(1e6 * min(1.0, labelled / max(1, n))))).limit(labelled)
+    sample = known.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(1e6 * min(1.0, labelled / max(1, n))))).orderBy(F.xxhash64("id"), "id").limit(labelled)
     got = base.join(F.broadcast(sample), "id").orderBy("id", "hash").limit(labelled).collect()
     y = np.array([r["y"] for r in got])
     if len(got) < 20 or y.min() == y.max():
         null = F.lit(None).cast("double")
         return docs.select(F.col(id_col).cast("long").alias("doc_id"), null.alias("p_text"), null.alias("p_meta"), null.alias("score"), F.lit(True).alias("kept"))
     xt, xm = text_view([r["vector"] for r in got]), meta_view([r["meta"] for r in got], [r["length"] for r in got])
-    held = np.arange(len(y)) % 5 == 4
-    views = {"text": xt[~held], "meta": xm[~held]}
-    targets = {"text": y[~held], "meta": y[~held]}
+    turn = np.arange(len(y)) % 5
+    held, last = turn == 3, turn == 4
+    if not all(0 < y[part].sum() < part.sum() for part in (held, last)):  # too few labels for two parts
+        held = last = turn >= 3
+    fit = turn < 3
+    views = {"text": xt[fit], "meta": xm[fit]}
+    targets = {"text": y[fit], "meta": y[fit]}
     taken = [r["id"] for r in got]
     for turn in range(rounds + 1):
         models = {v: Logistic(views[v], targets[v]) for v in views}
@@ -174,7 +179,7 @@ def score_quality(
                 part = part.select("id", "hash", F.lit(other).alias("view"), F.lit(label).alias("label"))
                 picks = part if picks is None else picks.union(part)
         picks = shelf.put(picks, f"picks{turn}")  # at most 4 * (handed + 1) rows
-        more = base.join(F.broadcast(picks), ["id", "hash"]).limit(8 * (handed + 1)).collect()
+        more = base.join(F.broadcast(picks), ["id", "hash"]).orderBy("id", "hash", "view", "label").limit(8 * (handed + 1)).collect()
         for view in views:
             own = [r for r in more if r["view"] == view]
             if own:
@@ -182,10 +187,10 @@ def score_quality(
                 views[view] = np.concatenate([views[view], x])
                 targets[view] = np.concatenate([targets[view], [r["label"] for r in own]])
         taken += [r["id"] for r in more if r["id"] is not None]
-    both = np.stack([models["text"].logit(xt[held]), models["meta"].logit(xm[held])], axis=1)
-    top = Logistic(both, y[held])
-    top.calibrate(both, y[held])
-    cut = float(np.quantile(_probability(top.logit(both))[y[held] == 1], lost)) if (y[held] == 1).any() else 0.0
+    both = np.stack([models["text"].logit(xt), models["meta"].logit(xm)], axis=1)
+    top = Logistic(both[held], y[held])
+    top.calibrate(both[last], y[last])
+    cut = float(np.quantile(_probability(top.logit(both[last]))[y[last] == 1], lost)) if (y[last] == 1).any() else 0.0
     final = base.mapInArrow(
         partial(_scored, text_model=models["text"], meta_model=models["meta"], top=top), "id long, hash long, p_text double, p_meta double, score double"
     )
