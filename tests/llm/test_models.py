@@ -59,3 +59,65 @@ def test_cotraining_without_labels(spark, documents):
     assert score_quality(documents([]), none).count() == 0
     found = score_quality(documents([(1, "a"), (1, "a"), (None, None)]), none).collect()
     assert len(found) == 3 and all(r["kept"] and r["score"] is None for r in found)
+
+
+def test_a_long_text_is_summed_in_blocks(documents):
+    """The score of a text is the same whether its n-grams are gathered at once or by blocks."""
+    import numpy as np
+
+    from textloom.llm import langid
+
+    draw = np.random.default_rng(0)
+    model = langid.LanguageModel(["x", "y", "z"], draw.normal(size=(1 << langid.BUCKET_BITS, 3)).astype(np.float32), 0.7, 0.0)
+    for size in (1, langid._LONG - 1, langid._LONG, 3 * langid._LONG + 17):
+        text = bytes(draw.integers(97, 123, size, dtype=np.uint8))
+        ids, counts = langid.subwords([text])
+        logits = model.table[ids].astype(float).sum(axis=0) / counts[0] / 0.7
+        want = np.exp(logits - logits.max())
+        assert np.allclose(model.probabilities([text])[0], want / want.sum(), atol=1e-6)
+        assert np.allclose(model.probabilities([text, b"q"])[0], want / want.sum(), atol=1e-3)
+
+
+def test_language_fit_is_that_of_plain_gradient_steps():
+    """Brute force: the softmax regression without hashing tricks, one piece at a time, gives the same model."""
+    import numpy as np
+
+    from textloom.llm import langid
+
+    pieces, labels = [b"der die das", b"the of and", b"und oder", b"with this"], ["de", "en", "de", "en"]
+    found = langid.train(pieces, labels, epochs=2, batch=1)
+    draw = np.random.default_rng(3)
+    embed = draw.normal(0, 0.1, (1 << langid.BUCKET_BITS, langid.DIMENSIONS)).astype(np.float32)
+    weights = draw.normal(0, 0.3, (langid.DIMENSIONS, 2)).astype(np.float32)
+    for epoch in range(2):
+        for (k,) in np.array_split(draw.permutation(4), 4):
+            own = langid.subwords([pieces[k]])[0]
+            mean = sum(embed[i] for i in own) / len(own)
+            z = np.exp(mean @ weights)
+            error = z / z.sum() - np.array([labels[k] == "de", labels[k] == "en"])
+            back, rate = weights @ error / len(own), 0.5 * (1 - epoch / 2) * 8
+            weights = weights - rate * np.outer(mean, error)
+            for i in own:
+                embed[i] -= rate * back
+    assert np.allclose(found.table, embed @ weights, atol=1e-4)
+
+
+def test_logistic_is_that_of_plain_descent():
+    import numpy as np
+
+    from textloom.llm.quality_model import Logistic
+
+    draw = np.random.default_rng(5)
+    x, y = draw.normal(size=(40, 3)), (draw.random(40) < 0.4).astype(int)
+    model = Logistic(x, y, steps=50)
+    z = [[(v - m) / (s + 1e-2) for v, m, s in zip(row, x.mean(axis=0), x.std(axis=0))] for row in x]
+    w, b, move, move_b, rate = [0.0] * 3, 0.0, [0.0] * 3, 0.0, 0.5 / 3**0.5
+    for _ in range(50):
+        errors = []
+        for row, t in zip(z, y):
+            p = 1 / (1 + np.exp(-(sum(a * v for a, v in zip(w, row)) + b)))
+            errors.append((p - t) * 0.5 / (y.mean() if t else 1 - y.mean()) / 40)
+        move = [0.9 * m - rate * (sum(e * row[j] for e, row in zip(errors, z)) + 1e-3 * w[j]) for j, m in enumerate(move)]
+        move_b = 0.9 * move_b - rate * sum(errors)
+        w, b = [a + m for a, m in zip(w, move)], b + move_b
+    assert np.allclose(model.w, w) and np.isclose(model.b, b)

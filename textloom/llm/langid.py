@@ -9,6 +9,7 @@ the mean over its byte n-grams of one row of a small table, which goes with the
 from __future__ import annotations
 
 import re
+import zlib
 from functools import partial
 
 import numpy as np
@@ -22,27 +23,34 @@ BUCKET_BITS, SIZES, DIMENSIONS = 15, (2, 3, 4), 16
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _PAD = b"   "
+#: Bytes of a long text whose n-grams are in memory at once.
+_LONG = 1 << 18
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[9:14] = 32
 
 
+def _buckets(padded: bytes) -> np.ndarray:
+    """[place, n-gram size] bucket ids of the n-grams that begin at each place but the last len(_PAD)."""
+    raw = _FOLD[np.frombuffer(padded, np.uint8)].astype(np.uint32)
+    hashed, ids = raw[: len(raw) - 3].copy(), []
+    for n in range(2, max(SIZES) + 1):
+        hashed = hashed * np.uint32(0x01000193) + raw[n - 1 : len(raw) - 4 + n]
+        if n in SIZES:
+            mixed = (hashed ^ (hashed >> np.uint32(15))) * np.uint32(0x2C1B3C6D + 2 * n)
+            ids.append(mixed >> np.uint32(32 - BUCKET_BITS))
+    return np.stack(ids, axis=1)
+
+
 def subwords(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket ids of the byte n-grams of all texts, by text, and how many each has (>= 1)."""
-    padded = b"".join(b" " + t + _PAD for t in texts)
-    raw = _FOLD[np.frombuffer(padded, np.uint8)].astype(np.uint32)
+    ids = _buckets(b"".join(b" " + t + _PAD for t in texts))
     lengths = np.array([len(t) + 1 for t in texts])
     starts = np.cumsum(lengths + len(_PAD)) - lengths - len(_PAD)
-    hashed, ids = raw[: len(raw) - 3].copy(), []
-    inside = np.ones(len(hashed), bool)
+    inside = np.ones(len(ids), bool)
     for k in range(len(_PAD)):
         at = starts[1:] - 1 - k
         inside[at[at < len(inside)]] = False
-    for n in range(2, max(SIZES) + 1):
-        hashed = hashed * np.uint32(0x01000193) + raw[n - 1 : len(raw) - 4 + n]
-        if n in SIZES:
-            mixed = (hashed ^ (hashed >> np.uint32(15))) * np.uint32(0x2C1B3C6D + 2 * n)
-            ids.append((mixed >> np.uint32(32 - BUCKET_BITS))[inside])
-    return np.stack(ids, axis=1).ravel(), lengths * len(SIZES)
+    return ids[inside].ravel(), lengths * len(SIZES)
 
 
 def _clean(text: str) -> bytes:
@@ -50,9 +58,10 @@ def _clean(text: str) -> bytes:
 
 
 def _snippets(batches, per_doc: int):
-    """(lang, text) -> (lang, piece): of each text up to per_doc pieces of 10 to 500 bytes."""
+    """(lang, text) -> (lang, piece, doc): of each text up to per_doc pieces of 10 to 500 bytes, with a
+    digest of the text."""
     for batch in batches:
-        langs, pieces = [], []
+        langs, pieces, docs = [], [], []
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             data = _clean(text)
             draw = np.random.default_rng(len(data) * 31 + sum(data[:64]))
@@ -63,7 +72,8 @@ def _snippets(batches, per_doc: int):
                 if _LETTER.search(piece.decode("utf-8", "ignore")):
                     langs.append(lang)
                     pieces.append(piece)
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(pieces, pa.binary())], ["lang", "piece"])
+                    docs.append(zlib.crc32(data))
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(pieces, pa.binary()), pa.array(docs, pa.int64())], ["lang", "piece", "doc"])
 
 
 class LanguageModel:
@@ -73,19 +83,32 @@ class LanguageModel:
         self.languages, self.table, self.temperature, self.least = languages, table, temperature, least
 
     def probabilities(self, texts: list[bytes]) -> np.ndarray:
-        ids, counts = subwords(texts)
-        first = np.cumsum(counts) - counts
-        logits = np.add.reduceat(self.table[ids], first, axis=0) / counts[:, None] / self.temperature
+        """[text, language]; texts are of moderate size together, but one alone may be of any size."""
+        if len(texts) == 1:
+            padded, total = b" " + texts[0] + _PAD, np.zeros(len(self.languages))
+            for at in range(0, len(texts[0]) + 1, _LONG):
+                total += self.table[_buckets(padded[at : at + _LONG + len(_PAD)]).ravel()].sum(axis=0, dtype=np.float64)
+            logits = total[None, :] / ((len(texts[0]) + 1) * len(SIZES))
+        else:
+            ids, counts = subwords(texts)
+            first = np.cumsum(counts) - counts
+            logits = np.add.reduceat(self.table[ids], first, axis=0) / counts[:, None]
+        logits = logits / self.temperature
         logits = np.exp(logits - logits.max(axis=1, keepdims=True))
         return logits / logits.sum(axis=1, keepdims=True)
 
 
-def train(pieces: list[bytes], labels: list[str], *, epochs: int = 4, rate: float = 0.5, batch: int = 64, seed: int = 3, precision: float = 0.99) -> LanguageModel:
-    """Every tenth piece is held out: it sets the temperature (least log loss) and the score
-    from which on predictions reach `precision`."""
+def train(
+    pieces: list[bytes], labels: list[str], docs: list[int] | None = None, *, epochs: int = 4, rate: float = 0.5, batch: int = 64, seed: int = 3, precision: float = 0.99,
+) -> LanguageModel:
+    """A tenth of the documents (docs: each piece's; without, of the pieces) is held out: it sets the
+    temperature (least log loss) and the score from which on predictions reach `precision`."""
     languages = sorted(set(labels))
     y = np.array([languages.index(x) for x in labels])
-    held = np.arange(len(y)) % 10 == 9 if len(y) >= 50 else np.zeros(len(y), bool)
+    turn = np.arange(len(y)) if docs is None else np.array(docs)
+    held = turn % 10 == 9 if len(y) >= 50 else np.zeros(len(y), bool)
+    if held.all():
+        held[:] = False
     draw = np.random.default_rng(seed)
     embed = draw.normal(0, 0.1, (1 << BUCKET_BITS, DIMENSIONS)).astype(np.float32)
     weights = draw.normal(0, 0.3, (DIMENSIONS, len(languages))).astype(np.float32)
@@ -147,10 +170,10 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, *, docs_per_
         return None
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(1e6 * min(1.0, docs_per_language / n)))])
     sample = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < share[F.col("lang")])
-    pieces = sample.select("lang", "text").mapInArrow(partial(_snippets, per_doc=pieces_per_doc), "lang string, piece binary")
-    got = sorted((bytes(r["piece"]), r["lang"]) for r in pieces.collect())
+    pieces = sample.select("lang", "text").mapInArrow(partial(_snippets, per_doc=pieces_per_doc), "lang string, piece binary, doc long")
+    got = sorted((bytes(r["piece"]), r["lang"], r["doc"]) for r in pieces.collect())
     draw = np.random.default_rng(1).permutation(len(got))
-    return train([got[k][0] for k in draw], [got[k][1] for k in draw]) if got else None
+    return train(*([got[k][c] for k in draw] for c in range(3))) if got else None
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
