@@ -16,11 +16,14 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where
-    that is unset (local tests) a temporary folder that goes with the process."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is
+    unset, on a local master alone, a temporary folder that goes with the process. A cluster
+    without the setting is an error: its machines would write to folders of their own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="textloom-"))
         atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
