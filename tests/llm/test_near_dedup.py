@@ -106,3 +106,70 @@ def test_components_of_random_graphs(spark):
     found = components(spark.createDataFrame(edges, "a long, b long"), Shelf(spark, "test"))
     assert {r["node"]: r["component"] for r in found.collect()} == want
     assert components(spark.createDataFrame([], "a long, b long"), Shelf(spark, "test")).count() == 0
+
+
+def by_text(rows, n, percent=80):
+    """Brute force over texts: [(id, shingles, id of the component, its texts)] of each row, in order."""
+    texts = sorted({t for k, t in rows if k is not None and shingles(t, n)})
+    sets = [shingles(t, n) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 100 * len(x & sets[j]) >= percent * len(x | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for k, t in rows:
+        if k is not None and t in texts:
+            c = find(texts.index(t))
+            least[c] = min(least.get(c, k), k)
+    return [(k, len(shingles(t, n)), k if k is None or t not in texts else least[find(texts.index(t))]) for k, t in rows]
+
+
+def test_links_are_between_texts_whatever_their_ids(documents):
+    draw = random.Random(12)
+    words = [f"w{k}" for k in range(300)]
+    bases = [" ".join(draw.choice(words) for _ in range(60)) for _ in range(8)]
+    rows = []
+    for _ in range(120):
+        text = draw.choice(bases).split()
+        for _ in range(draw.randrange(3)):
+            text[draw.randrange(60)] = draw.choice(words)
+        rows.append((draw.choice([None, *range(12)]), " ".join(text)))
+    rows += [(5, bases[0]), (5, bases[1]), (9, bases[0] + " x"), (3, bases[1] + " y"), (4, None), (4, ""), (4, bases[2])]
+    found = [tuple(r)[:3] for r in near_duplicates(documents(rows), words=2).select("doc_id", "n_shingles", "component_id").collect()]
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(found, key=key) == sorted(by_text(rows, 2), key=key)
+    firsts = [r["component_key"] for r in near_duplicates(documents(rows), words=2).filter("first and component_key is not null").dropDuplicates(["doc_id", "component_key"]).collect()]
+    assert len(firsts) == len(set(firsts))
+
+
+def test_a_hub_with_many_partners(documents, monkeypatch):
+    from textloom.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "PARTNERS", 7)
+    draw = random.Random(3)
+    base = [f"a{k}" for k in range(50)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 120):
+        copy = list(base)
+        copy[draw.randrange(50)] = f"b{k}"
+        rows.append((k, " ".join(copy)))
+    assert got(near_duplicates(documents(rows), words=2)) == brute(rows, 2)
+
+
+def test_no_private_folder_on_a_cluster():
+    import types
+
+    import pytest
+
+    from textloom.llm.common import shared_dir
+
+    far = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda *_: None), sparkContext=types.SimpleNamespace(master="yarn", getConf=lambda: {}))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_dir(far)

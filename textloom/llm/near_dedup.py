@@ -2,7 +2,8 @@
 confirmation on full shingle sets, and connected components.
 
 Copies with one shingle set are one node from the start (a pre-aggregated minimum), so
-groups of thousands of exact copies cost nothing further. Inside a band bucket no list
+groups of thousands of exact copies cost nothing further. Nodes are sets, not ids: rows of one
+id with different texts are different nodes. Inside a band bucket no list
 of all pairs is made: each node is first checked against one bucket centre; only
 buckets whose nodes then still lie in different components are compared further, in
 blocks of signatures, and only pairs whose signatures agree are passed on.
@@ -52,8 +53,7 @@ def minima(sets: list[np.ndarray], family) -> np.ndarray:
 def _sketch(batches, words: int, n_hashes: int):
     hasher, family = WordHasher(), _hash_family(n_hashes)
     for batch in batches:
-        ids = batch.column(0)
-        texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
+        texts = [(t or "").encode() for t in batch.column(2).to_pylist()]
         sizes, keys, sigs = [], [], []
         for lo, hi in blocks_of(texts, 1 << 18):
             if hi - lo == 1:
@@ -68,7 +68,8 @@ def _sketch(batches, words: int, n_hashes: int):
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sigs.append(next(rows).tobytes() if len(s) else None)
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["id", "n", "key", "sig"]
+            [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
+            ["id", "hash", "n", "key", "sig"],
         )
 
 
@@ -87,7 +88,7 @@ def _confirmed(batches, words: int, percent: int):
     for batch in batches:
         keep = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            if x is not last:
+            if x != last:
                 last = x
                 kept = shingle_set(hasher.words((x or "").encode()), words)
             other = shingle_set(hasher.words((y or "").encode()), words)
@@ -159,7 +160,7 @@ def _closest(batches, screen: float):
 
 
 def _least(batches, words: int):
-    """(id, text) -> (id, least): the LEAST smallest 32-bit shingle hashes, sorted; all of
+    """(rep, text) -> (rep, least): the LEAST smallest 32-bit shingle hashes, sorted; all of
     them, if there are no more."""
     hasher = WordHasher()
     for batch in batches:
@@ -167,7 +168,7 @@ def _least(batches, words: int):
         for text in batch.column(1).to_pylist():
             values = shingle_set(hasher.words((text or "").encode()), words)
             least.append(np.unique((values ^ (values >> np.uint64(32))).astype(np.uint32))[:LEAST].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(least, pa.binary())], ["id", "least"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(least, pa.binary())], ["rep", "least"])
 
 
 def _likely(batches, screen: float, percent: int, rows_per_band: int, bands: int):
@@ -207,21 +208,40 @@ def _likely(batches, screen: float, percent: int, rows_per_band: int, bands: int
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, shelf: Shelf, name: str, words: int, percent: int) -> DataFrame:
-    """The pairs that hold on full sets, as a table."""
+def _texts_of(nodes: DataFrame, ids: DataFrame, texts: DataFrame, shelf: Shelf, name: str) -> DataFrame:
+    """(rep, text) of the nodes in ids (rep), as a table: each node's text is that of one document."""
+    n = ids.count()
+    wanted = nodes.select("rep", "id", "hash").join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "rep", "left_semi")
+    wanted = F.broadcast(wanted) if n <= BROADCAST_IDS else wanted
+    found = shelf.put(texts.join(wanted, ["id", "hash"]).select("rep", "text"), f"{name}_texts")
+    if found.count() > n:  # repeated rows
+        found = shelf.put(found.dropDuplicates(["rep"]), f"{name}_texts1")
+    return found
+
+
+#: Partners of one document in one block of pairs: its text is sent once for each block.
+PARTNERS = 512
+
+
+def _confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shelf: Shelf, name: str, words: int, percent: int) -> DataFrame:
+    """The pairs (of nodes) that hold on full sets, as a table."""
     pairs = shelf.put(pairs, f"{name}_pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    if (n := ids.count()) == 0:
+    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+    if pairs.isEmpty():
         return pairs
-    ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids
-    wanted = shelf.put(texts.join(ids, "id", "left_semi"), f"{name}_texts")
+    wanted = _texts_of(nodes, shelf.put(ids, f"{name}_ids"), texts, shelf, name)
+    # A document with many partners is dealt over several blocks, each with a copy of its text.
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("blocks")).filter("blocks > 1")
+    left = wanted.select(F.col("rep").alias("a"), F.col("text").alias("text_a")).join(hubs, "a", "left")
+    left = left.select("a", "text_a", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"))
     both = (
-        pairs.join(wanted.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        .join(wanted.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+        pairs.join(hubs, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"))
+        .join(wanted.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
+        .join(left, ["a", "block"])
         .select("a", "b", "text_a", "text_b")
-    )
+    )
     edges = shelf.put(both.mapInArrow(partial(_confirmed, words=words, percent=percent), "a long, b long").distinct(), f"{name}_edges")
-    shelf.drop(f"{name}_texts")
+    shelf.drop(f"{name}_texts", f"{name}_texts1", f"{name}_ids")
     return edges
 
 
@@ -229,26 +249,31 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, percent: int = 80,
     bands: int = BANDS, rows: int = ROWS, screen: float = SCREEN,
 ) -> DataFrame:
-    """Returns (doc_id, n_shingles, component_id, kept), a row for each row of docs.
+    """Returns (doc_id, n_shingles, component_id, kept, text_hash, first, component_key), a row for
+    each row of docs.
 
     Words are [^\\x20\\x09-\\x0D]+ of the whole text, A-Z lower-cased; a document's set
     holds its distinct `words`-word shingles (fewer words: the whole sequence). Documents
     are linked where 100 * common >= percent * union; component_id is the smallest id
-    reachable, itself included, and kept says that it is the row's own id.
+    reachable, itself included, and kept says that it is the row's own id. Links are between texts:
+    rows of one id with different texts may lie in different components. component_key tells
+    components apart even where one id stands in two (null without shingles), and first says that the
+    row has the component's least id and, of that id's texts, the one that stands for the component;
+    text_hash is xxhash64 of the text.
 
     Null or blank texts: no shingles, linked with nothing. A null id: component_id null,
-    kept, linked with nothing. Repeated rows are each returned, with one component; rows
-    of one id with different texts are compared like different documents. Other columns of docs are not read. An empty table gives no rows."""
+    kept, linked with nothing. Repeated rows are each returned, with one component. Other columns of docs are not read. An empty table gives no rows."""
     spark = docs.sparkSession
     arrow_rows(spark)
     shelf = Shelf(spark, "neardup")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
     sketches = shelf.put(
-        texts.mapInArrow(partial(_sketch, words=words, n_hashes=bands * rows), "id long, n long, key binary, sig binary"), "sketches"
+        texts.mapInArrow(partial(_sketch, words=words, n_hashes=bands * rows), "id long, hash long, n long, key binary, sig binary"), "sketches"
     )
     nodes = shelf.put(
-        sketches.filter("id is not null and key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.min(F.struct("n", "sig")).alias("s"))
-        .select("key", "rep", "s.n", "s.sig"), "nodes",
+        sketches.filter("id is not null and key is not null").groupBy("key").agg(F.min(F.struct("id", "hash", "n", "sig")).alias("s"))
+        .select("key", "s.*", F.monotonically_increasing_id().alias("rep")), "nodes",
     )
     width = 2 * rows
     hits = nodes.select(
@@ -265,7 +290,7 @@ def near_duplicates(
         .join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
         .select("a", "b", "sig_a", "sig_b").mapInArrow(partial(_agreeing, screen=screen), "a long, b long")
     )
-    edges = _confirm(star, texts, shelf, "star", words, percent)
+    edges = _confirm(star, nodes, texts, shelf, "star", words, percent)
     found = components(edges, shelf)
     # What the stars left apart. First of each node its closest pair alone, which joins nearly
     # all that belongs together; then, exactly, every pair of different components.
@@ -276,7 +301,7 @@ def near_duplicates(
         several = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"))
         spread = placed.join(several.filter("lo != hi").select("band", "m"), "band").join(nodes.select("rep", "sig"), "rep")
         if extra is not None:
-            spread = spread.join(extra.withColumnRenamed("id", "rep"), "rep")
+            spread = spread.join(extra, "rep")
         blocks = F.ceil(F.col("m") / BLOCK).cast("int")
         spread = (
             spread.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
@@ -291,22 +316,32 @@ def near_duplicates(
     near = unresolved().mapInArrow(partial(_closest, screen=screen), "node long, other long, agree double")
     near = near.groupBy("node").agg(F.max_by("other", F.struct("agree", -F.col("other"))).alias("other"))
     near = shelf.put(near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "near")
-    left = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    if (n := left.count()) > 0:
-        edges = edges.select("a", "b").union(_confirm(near, texts, shelf, "closest", words, percent))
+    if not near.isEmpty():
+        edges = edges.select("a", "b").union(_confirm(near, nodes, texts, shelf, "closest", words, percent))
         found = components(edges, shelf, "cc1_")
-        left = F.broadcast(left) if n <= BROADCAST_IDS else left
-        least = texts.join(left, "id", "left_semi").mapInArrow(partial(_least, words=words), "id long, least binary")
-        least = shelf.put(least.dropDuplicates(["id"]), "least")
+        left = shelf.put(near.select(F.col("a").alias("rep")).union(near.select(F.col("b").alias("rep"))).distinct(), "left")
+        least = _texts_of(nodes, left, texts, shelf, "least").mapInArrow(partial(_least, words=words), "rep long, least binary")
+        least = shelf.put(least, "least")
         likely = partial(_likely, screen=screen, percent=percent, rows_per_band=rows, bands=bands)
-        more = _confirm(unresolved(least).mapInArrow(likely, "a long, b long").distinct(), texts, shelf, "rest", words, percent)
+        more = _confirm(unresolved(least).mapInArrow(likely, "a long, b long").distinct(), nodes, texts, shelf, "rest", words, percent)
         if not more.isEmpty():
             found = components(edges.union(more), shelf, "cc2_")
-    labels = nodes.join(found, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("label"))
+    # A component's label is the least (id, key) of its nodes: found holds the nodes with links alone.
+    own = F.struct(F.col("id").alias("label"), F.col("key").alias("label_key"))
+    linked = shelf.put(found.join(nodes.select(F.col("rep").alias("node"), own.alias("own")), "node"), "linked")
+    least_of = linked.groupBy("component").agg(F.min("own").alias("least"))
+    least_of = F.broadcast(least_of) if least_of.count() <= BROADCAST_IDS else least_of
+    linked = linked.join(least_of, "component").select(F.col("node").alias("rep"), "least")
+    labels = shelf.put(nodes.join(linked, "rep", "left").select("key", F.coalesce("least", own).alias("l")).select("key", "l.*"), "labels")
+    shelf.drop("members", "near", "least", "left", "nodes", *(f"{n}_{k}" for n in ("star", "closest", "rest") for k in ("pairs", "edges")))
     out = sketches.join(labels, "key", "left")
+    known = F.col("id").isNotNull()
     return out.select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNotNull(), F.coalesce("label", "id")).alias("component_id"),
+        F.when(known, F.coalesce("label", "id")).alias("component_id"),
         F.coalesce(F.coalesce("label", "id") == F.col("id"), F.lit(True)).alias("kept"),
+        F.col("hash").alias("text_hash"),
+        F.coalesce((F.col("label") == F.col("id")) & (F.col("label_key") == F.col("key")), F.lit(True)).alias("first"),
+        F.when(known, F.hex("label_key")).alias("component_key"),
     )
