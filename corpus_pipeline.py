@@ -27,18 +27,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates (five-word shingles, 0.8): that of
-    the least id; of rows that repeat an id, the first by text. Rows without an id stay."""
+    """Keeps one document of each group of near-duplicate texts (five-word shingles, 0.8): that of
+    the least id, of that id's texts in the group one; of equal rows one. Texts that are near no
+    other stay, whatever their id; so do rows without an id or without words."""
     shelf = Shelf(spark, "pipeline")
-    judged = shelf.put(near_duplicates(docs).select("doc_id", "kept"), "judged")
-    left = drop_rows(docs, judged.filter("not kept"), {"doc_id": F.col("doc_id")})
-    repeated = judged.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    judged = shelf.put(near_duplicates(docs).select("doc_id", "text_hash", "first", "component_key"), "judged")
+    keys = {"doc_id": F.col("doc_id"), "text_hash": F.xxhash64(F.col("text").cast("string"))}
+    left = drop_rows(docs, judged.filter("not first"), keys)
+    repeated = judged.filter("first and component_key is not null").groupBy("doc_id", "text_hash").count().filter("count > 1").select("doc_id", "text_hash")
     if repeated.isEmpty():
         return left
     repeated = shelf.put(repeated, "repeated")
-    firsts = left.join(repeated, "doc_id", "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
-    firsts = firsts.groupBy("doc_id").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
-    return drop_rows(left, repeated, {"doc_id": F.col("doc_id")}).unionByName(firsts)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    again = left.select(row, *[mine.alias(f"__{c}") for c, mine in keys.items()])
+    wanted = repeated.select(*[F.col(c).alias(f"__{c}") for c in keys])
+    firsts = again.join(wanted, ["__doc_id", "__text_hash"], "left_semi").groupBy("__doc_id", "__text_hash").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
+    return drop_rows(left, repeated, keys).unionByName(firsts)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +63,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 1024 tokens."""
-    return best_fit_packing(docs)
+    return best_fit_packing(docs, special_tokens=True)
 
 
 STAGES = [
