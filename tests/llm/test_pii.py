@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 from textloom.llm.pii import find_pii, redact, span_digest
 
@@ -84,3 +85,38 @@ def test_redaction_keeps_the_rest(documents):
     assert out.columns == df.columns
     assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: "Ünï [EMAIL] and [IP]!", 2: None, 3: "", 4: "nothing here", None: "[PHONE]"}
     assert redact(documents([])).count() == 0
+
+
+def test_context_is_whole_words_on_either_side(documents):
+    rows = [
+        (1, "212-555-0142 is my mobile"), (2, "the hotel 212-555-0142"), (3, "discard 212-555-0142 at once"), (4, "123-45-6789 (passport)"),
+        (5, "phone 212-555-0142 or 212-555-0143, 212-555-0144"), (6, "phone " + "x" * 60 + " 212-555-0142"), (7, "212-555-0142 " + "x" * 60 + " phone"),
+    ]
+    found = {r["doc_id"]: [(s["kind"], s["value"], s["start"]) for s in r["found"]] for r in find_pii(documents(rows), "text", "found").collect()}
+    assert found[1] == [("local_phone", "212-555-0142", 0)] and found[4] == [("national_id", "123-45-6789", 0)]
+    assert found[2] == found[3] == found[6] == found[7] == []
+    assert [v[1] for v in found[5]] == ["212-555-0142", "212-555-0143", "212-555-0144"]
+
+
+def test_redaction_is_that_of_plain_code(documents):
+    draw = random.Random(9)
+    rows = [(k, "".join(draw.choice(["é💡 ", "word ", "joe@x.org", "+49 30 1234567", " 10.0.0.1", card(draw), " phone 212-555-0142 ", "w" * 3000]) for _ in range(draw.randrange(30)))) for k in range(150)]
+    spans = {r["doc_id"]: sorted((s["start"], s["stop"], s["kind"]) for s in r["f"]) for r in find_pii(documents(rows), "text", "f").collect()}
+    found = {r["doc_id"]: r["text"] for r in redact(documents(rows)).collect()}
+    for key, text in rows:
+        out, at = "", 0
+        for start, stop, kind in spans[key]:
+            if start >= at:
+                out, at = f"{out}{text[at:start]}[{kind.upper()}]", stop
+            at = max(at, stop)
+        assert found[key] == out + text[at:]
+
+
+def test_many_matches_in_one_text_take_time_in_proportion(documents):
+    text = " ".join(f"{k % 90 + 10} 10.0.{k % 256}.1" for k in range(100_000))
+    began = time.time()
+    r = span_digest(documents([(1, text)])).collect()[0]
+    assert r["n_ip"] == 100_000
+    out = redact(documents([(1, text)])).collect()[0]["text"]
+    assert out == re.sub(r"10\.0\.\d+\.1", "[IP]", text)
+    assert time.time() - began < 120

@@ -91,3 +91,12 @@ def test_further_columns_and_repeated_rows_stay(spark, documents, corpus):
         out = stage(spark, docs, corpus[1])
         assert out.columns == docs.columns
         assert {r["doc_id"] for r in out.collect()} == {1, 2}
+
+
+def test_unlike_texts_of_one_id_stay(spark, documents, corpus):
+    texts = [t for _, t, _ in corpus[0][:4]]
+    rows = [(5, texts[0], "en"), (5, texts[1], "de"), (5, texts[0] + " end", "en"), (9, texts[1] + " end", "en"), (3, texts[2], "en"), (3, texts[2], "en"), (None, texts[3], "en"), (None, texts[3], "en"), (7, " ", "en")]
+    out = corpus_pipeline.deduplicate(spark, documents(rows), corpus[1]).collect()
+    left = [(r["doc_id"], r["text"]) for r in out]
+    assert sorted(k or 0 for k, _ in left) == [0, 0, 3, 5, 5, 7]
+    assert (5, texts[1]) in left and (3, texts[2]) in left and len({t for k, t in left if k == 5} & {texts[0], texts[0] + " end"}) == 1
