@@ -100,6 +100,14 @@ def ragged_tsv(spark: SparkSession, path: str) -> DataFrame:
     return numbered_lines(spark, path).select("line_no", F.split(F.regexp_replace("value", "^\\x{FEFF}", ""), "\t").alias("cols"))
 
 
+def csv_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, cols): the comma-separated values of each line, quoted ones unquoted; widths may differ."""
+    rows = numbered_lines(spark, path)
+    each = F.regexp_extract_all("value", F.lit('(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    plain = F.transform(each, lambda c: F.when(c.startswith('"'), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+    return rows.select("line_no", plain.alias("cols"))
+
+
 def classification(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, sentence, label) of a file with a header line whose last word is the label."""
     rows = numbered_lines(spark, path).filter("line_no > 0").withColumn("parts", F.split(F.trim("value"), "\\s+"))
@@ -176,9 +184,10 @@ _DIALOGUES = (
 )
 
 
-def dialogues(spark: SparkSession, path: str) -> DataFrame:
-    """(dialogue_idx, domains, turn_no, domain, system, user, belief: map of slot to value): a row for each turn."""
-    rows = spark.read.schema(_DIALOGUES).option("multiLine", "true").json(path).select("dialogue_idx", "domains", F.posexplode("dialogue").alias("turn_no", "t"))
+def dialogues(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """(dialogue_idx, domains, turn_no, domain, system, user, belief: map of slot to value): a row for each
+    turn. lines: a dialogue on each line, so that a large file is read by many tasks; else one array."""
+    rows = spark.read.schema(_DIALOGUES).option("multiLine", str(not lines).lower()).json(path).select("dialogue_idx", "domains", F.posexplode("dialogue").alias("turn_no", "t"))
     firsts = F.transform("t.belief_state", lambda b: F.struct(b["slots"][0][0], b["slots"][0][1]))
     belief = F.map_from_entries(F.array_distinct(firsts))
     return rows.select("dialogue_idx", "domains", "turn_no", "t.domain", F.col("t.system_transcript").alias("system"), F.col("t.transcript").alias("user"), belief.alias("belief"))
