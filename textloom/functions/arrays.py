@@ -232,7 +232,8 @@ def learning_rate(kind: str, step: Column, *, base: float, warmup: int, steps: i
 
 @F.pandas_udf(T.IntegerType())
 def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Levenshtein distance of two arrays (of tokens), a row of the table at a time."""
+    """Levenshtein distance of two arrays (of tokens), a row of the table at a time. Spark's own
+    levenshtein() is for strings; coding tokens as characters would bound how many a row may hold."""
 
     def one(x, y):
         x, y = ([] if v is None else list(v) for v in (x, y))

@@ -15,11 +15,15 @@ _STRIP = "(?U)^\\s+|\\s+$"
 #: A word's characters, of any script.
 _IN_WORD = "[\\p{L}\\p{N}_]"
 
-# Spoken forms of abbreviations with a full stop.
+# Spoken forms of abbreviations with a full stop, common ones first.
 ABBREVIATIONS = {
-    "mrs": "misess", "mr": "mister", "dr": "doctor", "st": "saint", "co": "company", "jr": "junior", "maj": "major", "gen": "general",
-    "drs": "doctors", "rev": "reverend", "lt": "lieutenant", "hon": "honorable", "sgt": "sergeant", "capt": "captain", "esq": "esquire",
-    "ltd": "limited", "col": "colonel", "ft": "fort",
+    "ms": "miss", "mrs": "misess", "mr": "mister", "messrs": "messeurs", "dr": "doctor", "drs": "doctors", "st": "saint", "co": "company",
+    "jr": "junior", "sr": "senior", "rev": "reverend", "hon": "honorable", "sgt": "sergeant", "capt": "captain", "maj": "major", "col": "colonel",
+    "lt": "lieutenant", "gen": "general", "prof": "professor", "lb": "pounds", "rep": "representative", "ave": "avenue", "etc": "et cetera",
+    "jan": "january", "feb": "february", "mar": "march", "apr": "april", "jun": "june", "jul": "july", "aug": "august", "sep": "september",
+    "oct": "october", "nov": "november", "dec": "december",
+    "ltd": "limited", "fig": "figure", "figs": "figures", "gent": "gentlemen", "ft": "fort", "esq": "esquire", "prep": "preperation",
+    "bros": "brothers", "ind": "independent", "mme": "madame", "pro": "professional", "vs": "versus", "inc": "include",
 }
 
 
@@ -43,9 +47,11 @@ def has_currency(text) -> Column:
 
 
 def expand_abbreviations(text: Column) -> Column:
+    """Spoken forms in place of abbreviations; of one with two (st.) the first. Texts without any are read once."""
+    out = text
     for short, spoken in ABBREVIATIONS.items():
-        text = F.regexp_replace(text, f"(?i)(?<!{_IN_WORD}){short}\\.", spoken)
-    return text
+        out = F.regexp_replace(out, f"(?i)(?<!{_IN_WORD}){short}\\.", spoken)
+    return F.when(text.rlike(f"(?i)(?<!{_IN_WORD})(?:{'|'.join(ABBREVIATIONS)})\\."), out).otherwise(text)
 
 
 def spoken_punctuation(text: Column, keep: str = "'") -> Column:
@@ -70,6 +76,7 @@ def strip_punctuation(text: Column) -> Column:
 def tokenise_13a(text: Column) -> Column:
     """Western tokenisation of translation scores: marks become words of their own, but full
     stops and commas stay inside numbers and dashes split only after digits."""
+    # The replacements and patterns of this tokenisation.
     for old, new in (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
         text = F.replace(text, F.lit(old), F.lit(new))
     text = F.concat(F.lit(" "), text, F.lit(" "))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections import Counter
+from functools import partial, reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import edit_distance
-from .sets import gram_array
+from .order import running_total
 
 
 def character_error_rate(hypothesis: Column, reference: Column) -> Column:
@@ -23,19 +25,37 @@ def word_error_rate(hypothesis: Column, reference: Column) -> Column:
     return F.when(n == 0, float("inf")).otherwise(F.sum(edit_distance(hypothesis, reference)) / n)
 
 
-def matched_ngrams(pairs: DataFrame, keys: list[str], hypothesis: str, reference: str, low: int, high: int) -> DataFrame:
+def _matched(batches, keys: int, low: int, high: int):
+    """Key columns, hypothesis, references -> key columns, order, correct, both totals."""
+    for batch in batches:
+        rows, counts = [], []
+        columns = [c.to_pylist() for c in batch.columns[keys:]]
+        for k, (hypothesis, *references) in enumerate(zip(*columns, strict=True)):
+            for n in range(low, high + 1):
+                h, *others = (Counter(zip(*(tokens[j:] for j in range(n)), strict=False)) for tokens in (hypothesis or (), *(r or () for r in references)))
+                r = reduce(lambda a, b: a | b, others)  # of several references the greater count
+                if h or r:
+                    rows.append(k)
+                    counts.append((n, (h & r).total(), h.total(), r.total()))
+        out = list(zip(*counts, strict=True)) if counts else [()] * 4
+        kept = pa.array(rows, pa.int64())
+        own = [c.take(kept) for c in batch.columns[:keys]]
+        yield pa.RecordBatch.from_arrays(
+            [*own, pa.array(out[0], pa.int32()), *(pa.array(c, pa.int64()) for c in out[1:])],
+            [*batch.schema.names[:keys], "order", "correct", "hypothesis_total", "reference_total"],
+        )
+
+
+def matched_ngrams(pairs: DataFrame, keys: list[str], hypothesis: str, reference: str | list[str], low: int, high: int) -> DataFrame:
     """(keys, order, correct, hypothesis_total, reference_total) of each sentence; sentences
-    without n-grams of an order have no row for it. Both sides' n-grams leave their row
-    together, so that one aggregation counts them and nothing is joined."""
-    sides = F.array(
-        F.struct(gram_array(hypothesis, low, high).alias("grams"), F.lit(1).alias("h"), F.lit(0).alias("r")),
-        F.struct(gram_array(reference, low, high).alias("grams"), F.lit(0).alias("h"), F.lit(1).alias("r")),
-    )
-    each = pairs.select(*keys, F.explode(sides).alias("s")).select(*keys, F.explode("s.grams").alias("g"), "s.h", "s.r")
-    bags = each.groupBy(*keys, F.col("g.order").alias("order"), F.col("g.gram").alias("gram")).agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
-    return bags.groupBy(*keys, "order").agg(
-        F.sum(F.least("h", "r")).alias("correct"), F.sum("h").alias("hypothesis_total"), F.sum("r").alias("reference_total")
-    )
+    without n-grams of an order have no row for it. Of several references each n-gram has its
+    greatest count; a null one has none. Matches lie inside a row, so they are counted there
+    and no n-gram is shuffled."""
+    references = [reference] if isinstance(reference, str) else reference
+    rows = pairs.select(*keys, hypothesis, *references)
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keys)]]
+    schema = ", ".join([*kinds, "order int, correct long, hypothesis_total long, reference_total long"])
+    return rows.mapInArrow(partial(_matched, keys=len(keys), low=low, high=high), schema)
 
 
 def bleu(correct: list[Column], total: list[Column], hypothesis_length: Column, reference_length: Column, *, smoothing: str = "exp", add: float = 1.0) -> Column:
@@ -58,6 +78,16 @@ def bleu(correct: list[Column], total: list[Column], hypothesis_length: Column,
     return F.coalesce(100 * brevity * F.exp(mean), F.lit(0.0))
 
 
+def bleu_of_least(correct: list[Column], total: list[Column], hypothesis_length: Column, reference_length: Column, *, smooth: bool = False) -> Column:
+    """BLEU (0 to 100) by the least reference length: brevity exp(1 - 1 / (ratio + 1e-6)) up to a ratio
+    of 1; smooth: one more of each count; without, an order that matches nothing makes it 0."""
+    precisions = [(c + 1) / (t + 1) if smooth else F.when(t > 0, c / t).otherwise(0.0) for c, t in zip(correct, total, strict=True)]
+    ratio = hypothesis_length / reference_length
+    brevity = F.when(ratio > 1, 1.0).otherwise(F.exp(1 - 1 / (ratio + 1e-6)))
+    mean = reduce(lambda a, b: a + b, [F.log(p) for p in precisions]) / len(precisions)
+    return F.when(F.least(*precisions) > 0, 100 * F.exp(mean) * brevity).otherwise(0.0)
+
+
 def f_score(precision: Column, recall: Column, beta: float = 1.0) -> Column:
     return F.when(precision + recall > 0, (1 + beta**2) * precision * recall / (beta**2 * precision + recall)).otherwise(0.0)
 
@@ -112,24 +142,36 @@ def binary_scores(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
     """df with the average rank of `value` (ties share): counts of equal values, totalled."""
     counts = df.groupBy(value).agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.orderBy(value)) - F.col("__n")
-    return df.join(counts.select(value, (before + (F.col("__n") + 1) / 2).alias(out)), value)
+    placed = running_total(counts, value, F.col("__n"), "__before")
+    return df.join(placed.select(value, (F.col("__before") + (F.col("__n") + 1) / 2).alias(out)), value)
 
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """(truth, predicted, n, share of the truth's rows)."""
     counts = df.groupBy(truth, predicted).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(truth)))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(truth)))  # classes squared
+
+
+def _shared(a: Column, b: Column) -> Column:
+    """How many tokens two arrays share, repeats counted as often as both hold them."""
+    def many(tokens, token):
+        return F.size(F.filter(tokens, lambda t: t == token))
+
+    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, token: n + F.least(many(a, token), many(b, token)))
+
 
+def token_f1(pairs: DataFrame, keys: list[str], predicted: str, gold: str | list[str]) -> DataFrame:
+    """(keys, exact, f1) of answers as arrays of normalised tokens, the best over several gold
+    answers (null ones aside); two empty answers agree. All inside the row: answers are short."""
+    def scores(g):
+        p, g = F.col(predicted), F.col(g)
+        n_p, n_g, same = F.size(p), F.size(g), _shared(p, g)
+        f1 = F.when((n_p == 0) | (n_g == 0), (n_p == n_g).cast("double")).otherwise(f_score(same / n_p, same / n_g))
+        return F.when(g.isNotNull(), (p == g).cast("int")), F.when(g.isNotNull(), f1)
 
-def token_f1(pairs: DataFrame, keys: list[str], predicted: str, gold: str) -> DataFrame:
-    """(keys, exact, f1) of answers as arrays of normalised tokens; two empty answers agree."""
-    n_p, n_g = F.size(predicted), F.size(gold)
-    same = matched_ngrams(pairs, keys, predicted, gold, 1, 1).select(*keys, F.col("correct").alias("same"))
-    out = pairs.join(same, keys, "left").withColumn("same", F.coalesce("same", F.lit(0)))
-    empty = (n_p == 0) | (n_g == 0)
-    f1 = F.when(empty, (n_p == n_g).cast("double")).otherwise(f_score(F.col("same") / n_p, F.col("same") / n_g))
-    return out.select(*keys, (F.col(predicted) == F.col(gold)).cast("int").alias("exact"), f1.alias("f1"))
+    exact, f1 = zip(*(scores(g) for g in ([gold] if isinstance(gold, str) else gold)), strict=True)
+    best = (lambda cs: cs[0] if len(cs) == 1 else F.greatest(*cs))
+    return pairs.select(*keys, best(exact).alias("exact"), best(f1).alias("f1"))
 
 
 def best_threshold(df: DataFrame, probability: str, score: str, has_answer: str) -> DataFrame:
@@ -139,7 +181,8 @@ def best_threshold(df: DataFrame, probability: str, score: str, has_answer: str)
     steps = df.groupBy(probability).agg(
         F.sum(F.when(F.col(has_answer), F.col(score)).otherwise(-F.lit(1.0))).alias("gain"), F.count_if(~F.col(has_answer)).cast("double").alias("none")
     )
-    start = F.sum("none").over(Window.partitionBy())
-    walk = steps.select(F.col(probability).alias("threshold"), (start + F.sum("gain").over(Window.orderBy(probability))).alias("at"))
-    every = walk.union(steps.agg(F.lit(0.0).alias("threshold"), F.coalesce(F.sum("none"), F.lit(0.0)).alias("at")))
+    start = steps.agg(F.coalesce(F.sum("none"), F.lit(0.0)).alias("start"))
+    walk = running_total(steps, probability, F.col("gain"), "before").join(F.broadcast(start))  # one row
+    walk = walk.select(F.col(probability).alias("threshold"), (F.col("start") + F.col("before") + F.col("gain")).alias("at"))
+    every = walk.union(start.select(F.lit(0.0).alias("threshold"), F.col("start").alias("at")))
     return every.agg(F.max_by("threshold", F.struct("at", -F.col("threshold"))).alias("threshold"), F.max("at").alias("best"))

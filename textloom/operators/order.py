@@ -8,37 +8,60 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_total(df: DataFrame, order: str, value: Column, out: str = "before", width: int = 1000) -> DataFrame:
-    """df with the sum of `value` over all rows that come earlier by `order`, a unique integer.
-
-    Ranges of `width` order values are totalled first; only those totals, one row a range,
-    meet in one window."""
-    df = df.withColumn("__range", F.floor(F.col(order) / width)).withColumn("__value", value)
+#: Ranges of the order, each a window of its own; their totals, one row each, meet in one.
+RANGES = 256
+
+
+def running_total(df: DataFrame, order: str, value: Column, out: str = "before", then: tuple[str, ...] = ()) -> DataFrame:
+    """df with the sum of `value` over all rows that come earlier by `order`, a unique number
+    (or, with `then`, by it and the columns of `then`, unique together).
+
+    Approximate quantiles of `order` part it into ranges of like numbers of rows; these are
+    totalled first, and only their totals meet in one window."""
+    shares = [k / RANGES for k in range(1, RANGES)]
+    cuts = sorted(set(df.agg(F.percentile_approx(order, shares, 10 * RANGES)).first()[0] or []))
+    kind = df.schema[order].dataType
+    bounds = F.array(*[F.lit(c).cast(kind) for c in cuts])
+    place = F.size(F.filter(bounds, lambda b: b <= F.col(order))) if cuts else F.lit(0)
+    df = df.withColumn("__range", place).withColumn("__value", value)
     ranges = df.groupBy("__range").agg(F.sum("__value").alias("__sum"))
     starts = ranges.select("__range", (F.sum("__sum").over(Window.orderBy("__range")) - F.col("__sum")).alias("__start"))
-    inside = F.sum("__value").over(Window.partitionBy("__range").orderBy(order)) - F.col("__value")
-    return df.withColumn("__inside", inside).join(starts, "__range").withColumn(out, F.col("__start") + F.col("__inside")).drop("__range", "__value", "__inside", "__start")
+    inside = F.sum("__value").over(Window.partitionBy("__range").orderBy(order, *then).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__value")
+    return df.withColumn("__inside", inside).join(F.broadcast(starts), "__range").withColumn(out, F.col("__start") + F.col("__inside")).drop("__range", "__value", "__inside", "__start")
 
 
-def ranked(df: DataFrame, order: str, out: str = "rank", width: int = 1000) -> DataFrame:
-    """df with each row's place, from 0, by a unique integer column."""
-    return running_total(df, order, F.lit(1).cast("long"), out, width)
+def ranked(df: DataFrame, order: str, out: str = "rank", then: tuple[str, ...] = ()) -> DataFrame:
+    """df with each row's place, from 0, by a unique number (or by it and `then`)."""
+    return running_total(df, order, F.lit(1).cast("long"), out, then)
 
 
 def exact_split(df: DataFrame, order: str, share: float) -> DataFrame:
     """df with `split`: 'train' for exactly floor(rows * share) of the rows, the first by `order`,
-    'dev' for the rest; nothing is drawn at random."""
+    'dev' for the rest; nothing is drawn at random (random_split() does)."""
     n = df.count()
     cut = int(n * share)
     placed = ranked(df, order, "__rank")
     return placed.withColumn("split", F.when(F.col("__rank") < cut, "train").otherwise("dev")).drop("__rank")
 
 
+def random_split(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
+    """df with `split`: exactly floor(rows * share) rows, drawn by a seeded digest of a unique key,
+    are 'train', the rest 'dev'."""
+    drawn = df.withColumn("__draw", F.conv(F.substring(shuffle_key(key, seed), 1, 15), 16, 10).cast("long"))
+    cut = int(df.count() * share)
+    placed = ranked(drawn, "__draw", "__rank", (key,))
+    return placed.withColumn("split", F.when(F.col("__rank") < cut, "train").otherwise("dev")).drop("__rank", "__draw")
+
+
 def first_seen_ids(tokens: DataFrame, token: str, order: list[str], specials: list[str] = ()) -> DataFrame:
     """(token, id): specials first, then tokens by first appearance. The vocabulary is
     aggregated before it is ordered."""
     first = tokens.filter(~F.col(token).isin(*specials) if specials else F.lit(True)).groupBy(token).agg(F.min(F.struct(*order)).alias("first"))
-    return first.select(token, (F.row_number().over(Window.orderBy("first")) - 1 + len(specials)).cast("long").alias("id"))
+    if len(order) == 1 and dict(tokens.dtypes)[order[0]].startswith("struct"):
+        first = first.select(token, F.col(f"first.{order[0]}").alias("first"))
+    names = first.schema["first"].dataType.names
+    placed = ranked(first.select(token, *[F.col(f"first.{n}").alias(f"__{k}") for k, n in enumerate(names)]), "__0", "id", tuple(f"__{k}" for k in range(1, len(names))))
+    return placed.select(token, (F.col("id") + len(specials)).cast("long").alias("id"))
 
 
 def alphabetical_ids(labels: DataFrame, label: str, pad: str | None = None) -> DataFrame:
@@ -95,9 +118,9 @@ def batches(df: DataFrame, order: str, size: int, *, drop_last: bool = False) ->
 
 def token_budget_batches(df: DataFrame, key: str, source: str, target: str, budget: int) -> DataFrame:
     """df with `batch`: pairs of like lengths share a batch of about `budget` tokens. Lengths
-    are sorted in coarse ranges, then the running tokens of each range are cut by the budget."""
-    width = F.greatest(source, target)
-    w = Window.partitionBy("__band").orderBy(width, source, key)
-    out = df.withColumn("__band", F.floor(F.log2(width + 1)).cast("int"))
-    place = F.floor((F.sum(width).over(w) - width) / budget)
-    return out.withColumn("batch", F.concat_ws("-", "__band", place.cast("long"))).drop("__band")
+    are sorted, then the running tokens of each doubling of the length are cut by the budget."""
+    out = df.withColumn("__width", F.greatest(source, target)).withColumn("__band", F.floor(F.log2(F.col("__width") + 1)).cast("int"))
+    out = running_total(out, "__width", F.col("__width"), "__before", (source, key))
+    starts = out.groupBy("__band").agg(F.min("__before").alias("__start"))  # a row for each power of two
+    place = F.floor((F.col("__before") - F.col("__start")) / budget)
+    return out.join(F.broadcast(starts), "__band").withColumn("batch", F.concat_ws("-", "__band", place.cast("long"))).drop("__band", "__width", "__before", "__start")

@@ -76,13 +76,39 @@ def pair_short_filter(t):
     return pairs(t).filter(filters.short_pair("src", "tgt")).select("conv_id", "turn")
 
 
+_HEADS = "(SELECT conv_id, turn, array_to_string(list_filter(regexp_split_to_array(src, '\\s+'), lambda w: w <> '')[1:1 + turn * 3], ' ') AS src, array_to_string(list_filter(regexp_split_to_array(tgt, '\\s+'), lambda w: w <> '')[1:8], ' ') AS tgt FROM " + PAIRS + ")"
+
+
+def _heads(t):
+    """Pairs of short sentences: the first words of each side."""
+    def head(c, n):
+        return F.array_join(F.slice(words(F.col(c)), F.lit(1), n), " ")
+
+    return pairs(t).select("conv_id", "turn", head("src", (1 + F.col("turn") * 3).cast("int")).alias("src"), head("tgt", F.lit(8)).alias("tgt"))
+
+
+@query(f"SELECT conv_id, turn FROM {_HEADS} WHERE len(string_split(src, ' ')) < 10 AND len(string_split(tgt, ' ')) < 10")
+def pair_short_heads(t):
+    return _heads(t).filter(filters.short_pair("src", "tgt")).select("conv_id", "turn")
+
+
+@query(f"""WITH p AS (SELECT *, list_filter(string_split(src || ' ' || tgt, ' '), lambda w: w <> '') AS ws FROM {_HEADS}),
+v AS (SELECT word FROM (SELECT unnest(ws) AS word FROM p) GROUP BY word HAVING count(*) >= 2)
+SELECT conv_id, turn FROM p WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(ws) AS word) u WHERE word NOT IN (SELECT word FROM v))""")
+def pair_rare_word_heads(t):
+    p = _heads(t)
+    used = p.select(F.explode(F.concat(words(F.col("src")), words(F.col("tgt")))).alias("word"))
+    vocabulary = used.groupBy("word").count().filter("count >= 2").select("word")
+    return filters.known_pairs(p, vocabulary, ["conv_id", "turn"], "src", "tgt").select("conv_id", "turn")
+
+
 @query(f"""SELECT word, count(*) AS n, row_number() OVER (ORDER BY min(doc_id * 1000000 + pos)) + 3 AS id
 FROM {WORD_ROWS} GROUP BY word HAVING count(*) >= 3""")
 def vocab_min_count(t):
     d = t("documents").select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "word"))
     counts = d.groupBy("word").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).filter("n >= 3")
-    ids = order.first_seen_ids(counts.select("word", "first"), "word", ["first"])
-    return counts.join(ids, "word").select("word", "n", (F.col("id") + 4).alias("id"))
+    placed = order.ranked(counts.select("word", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos")), "doc_id", "id", ("pos",))
+    return placed.select("word", "n", (F.col("id") + 4).alias("id"))
 
 
 @query(f"""WITH p AS (SELECT *, list_filter(regexp_split_to_array(src || ' ' || tgt, '\\s+'), lambda w: w <> '') AS ws FROM {PAIRS}),
@@ -193,6 +219,11 @@ def exact_split(t):
     return order.exact_split(t("documents").select("doc_id"), "doc_id", 0.9)
 
 
+@query("""SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY ('0x' || substr(md5('5:' || doc_id), 1, 15))::BIGINT, doc_id) - 1 < floor(count(*) OVER () * 0.9) THEN 'train' ELSE 'dev' END AS split FROM documents""")
+def random_split(t):
+    return order.random_split(t("documents").select("doc_id"), "doc_id", 0.9, seed=5)
+
+
 @query(f"""WITH h AS (SELECT conv_id, turn, unnest({WORDS.replace('text', 'src')}) AS word FROM {PAIRS}), r AS (SELECT conv_id, turn, unnest({WORDS.replace('text', 'tgt')}) AS word FROM {PAIRS}),
 a AS (SELECT conv_id, turn, word, count(*) AS n FROM h GROUP BY ALL), b AS (SELECT conv_id, turn, word, count(*) AS n FROM r GROUP BY ALL)
 SELECT conv_id, turn, CAST(sum(least(a.n, b.n)) AS BIGINT) AS n FROM a JOIN b USING (conv_id, turn, word) GROUP BY ALL""")

@@ -153,3 +153,58 @@ def events_sessions(t):
     from ..streaming.events import sessions
 
     return sessions(t("events")).select("user_id", F.unix_timestamp("start").alias("start"), "n")
+
+
+@query("SELECT conv_id, turn, regexp_replace(text, '\\s+', '', 'g') AS packed, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS collapsed FROM conversations")
+def white_space(t):
+    return t("conversations").select("conv_id", "turn", F.regexp_replace("text", "\\s+", "").alias("packed"), tx.collapse(F.col("text")).alias("collapsed"))
+
+
+@query("SELECT doc_id, md5(translate(replace(replace(replace(text, '+', ' plus '), '&', ' and '), '%', ' percent '), '!\"#$()*,-./:;<=>?@[\\]^_`{|}~', repeat(' ', 28))) AS digest FROM documents")
+def spoken_marks(t):
+    return t("documents").select("doc_id", F.md5(tx.spoken_punctuation(F.col("text"))).alias("digest"))
+
+
+@query(f"""SELECT conv_id, turn, array_to_string(list_transform(flatten(list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), lambda w: string_split(replace(w, 'e', '_'), '_'))), lambda p: coalesce(nullif(list_position(['a', 'th', 'ti'], p), 0) - 1, 9)), ' ') AS ids FROM conversations""")
+def phonemes(t):
+    text = F.array_join(F.transform(words(F.col("text")), lambda w: F.replace(w, F.lit("e"), F.lit("_"))), " ")
+    ids = tx.phoneme_ids(text, ["a", "th", "ti"], unknown=9)
+    return t("conversations").select("conv_id", "turn", F.array_join(F.transform(ids, lambda k: k.cast("string")), " ").alias("ids"))
+
+
+@query("""SELECT vec_id, round(0.5 * x * (1 + tanh(sqrt(2 / pi()) * (x + 0.044715 * x * x * x))), 6) AS gelu FROM (SELECT vec_id, embedding[1]::DOUBLE AS x FROM embeddings)""")
+def gelu(t):
+    return t("embeddings").select("vec_id", F.round(arrays.gelu(F.get("embedding", F.lit(0)).cast("double")), 6).alias("gelu"))
+
+
+@query("""SELECT vec_id, round(2 * list_sum(embedding::DOUBLE[]), 5) AS total, 128::BIGINT AS n, repeat('1', CAST(vec_id % 9 AS INT)) || repeat('0', CAST(8 - vec_id % 9 AS INT)) AS mask,
+array_to_string(list_transform(range(8), lambda i: CASE WHEN i >= vec_id % 9 - 1 THEN 1 ELSE 0 END), '') AS gate FROM embeddings""")
+def splice_and_masks(t):
+    v = arrays.splice(F.transform("embedding", lambda x: x.cast("double")), 2)
+    length = (F.col("vec_id") % 9).cast("int")
+    gate = F.transform(arrays.gate_target(length, F.lit(8)), lambda x: x.cast("int").cast("string"))
+    mask = F.transform(arrays.length_mask(length, F.lit(8)), lambda x: x.cast("string"))
+    return t("embeddings").select("vec_id", F.round(arrays.total(v), 5).alias("total"), F.size(v).cast("long").alias("n"), F.array_join(mask, "").alias("mask"), F.array_join(gate, "").alias("gate"))
+
+
+@query("""SELECT s.i AS position, round(sin(s.i), 6) AS first, round(cos(s.i), 6) AS second, round(sin(s.i / pow(10000.0, 0.5)), 6) AS third FROM range(200) s(i)""")
+def sinusoids(t):
+    row = arrays.sinusoid(F.col("id"), 4)
+    d = t("region").sparkSession.range(200).select("id", row.alias("r"))
+    return d.select(F.col("id").alias("position"), *[F.round(F.get("r", F.lit(k)), 6).alias(n) for k, n in enumerate(("first", "second", "third"))])
+
+
+@query("""SELECT event_type, lower(event_type) AS whole, lower(replace(event_type, '_', '')) AS packed, count(*) AS n FROM events GROUP BY event_type""")
+def slot_names(t):
+    from ..operators.dialogue import slot_name
+
+    spaced = F.replace("event_type", F.lit("_"), F.lit(" "))
+    d = t("events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return d.select("event_type", slot_name(F.concat(F.lit("book "), F.initcap("event_type"))).substr(6, 99).alias("whole"), slot_name(F.initcap(spaced)).alias("packed"), "n")
+
+
+@query("""SELECT doc_id, lang, CASE WHEN lang IN ('en', 'de') THEN CASE lang WHEN 'en' THEN 1 ELSE 0 END ELSE -1 END AS id FROM documents""")
+def label_lookup(t):
+    d = t("documents").select("doc_id", "lang")
+    ids = order.alphabetical_ids(d.filter(F.col("lang").isin("en", "de")), "lang", "")
+    return d.join(F.broadcast(ids), "lang", "left").select("doc_id", "lang", F.coalesce("id", F.lit(-1)).cast("int").alias("id"))  # two labels

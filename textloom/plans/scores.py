@@ -123,6 +123,37 @@ def bleu_closest_ref(t):
     return sums.crossJoin(lengths).select("hypothesis_length", "reference_length", F.round(score, 6).alias("bleu"))  # one row each
 
 
+_THREE = f"""(SELECT a.conv_id, a.turn, {WORDS.replace('text', 'a.text')} AS a, {WORDS.replace('text', 'b.text')} AS b, {WORDS.replace('text', 'c.text')} AS c FROM conversations a
+JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 LEFT JOIN conversations c ON a.conv_id = c.conv_id AND c.turn = a.turn + 2)"""
+
+
+def _three(t):
+    """Each turn with the next and, where there is one, the turn after."""
+    later = t("conversations").select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("third"))
+    return pairs(t).join(later, ["conv_id", "turn"], "left")
+
+
+@query(f"""WITH p AS {_THREE}, h AS (SELECT conv_id, turn, o, g, count(*) AS n FROM {_gram_sql('p', 'conv_id, turn', 'a', 1, 4)} GROUP BY ALL),
+r AS (SELECT conv_id, turn, o, g, max(n) AS n FROM (SELECT conv_id, turn, o, g, count(*) AS n FROM {_gram_sql('p', 'conv_id, turn', 'b', 1, 4)} GROUP BY ALL
+UNION ALL SELECT conv_id, turn, o, g, count(*) AS n FROM {_gram_sql('p', 'conv_id, turn', 'c', 1, 4)} GROUP BY ALL) GROUP BY ALL),
+x AS (SELECT h.o, sum(h.n) AS total, sum(least(h.n, coalesce(r.n, 0))) AS correct FROM h LEFT JOIN r USING (conv_id, turn, o, g) GROUP BY h.o),
+l AS (SELECT sum(len(a)) AS hl, sum(least(len(b), coalesce(len(c), len(b)))) AS rl FROM p),
+s AS (SELECT exp(avg(ln((correct + 1) / (total + 1)))) AS smooth, CASE WHEN min(correct) > 0 THEN exp(avg(CASE WHEN correct > 0 THEN ln(correct / total) END)) ELSE 0 END AS plain, sum(correct) AS correct FROM x)
+SELECT CAST(correct AS BIGINT) AS correct, CAST(hl AS BIGINT) AS hypothesis_length, CAST(rl AS BIGINT) AS reference_length,
+round(100 * plain * CASE WHEN hl > rl THEN 1 ELSE exp(1 - 1 / (hl / rl + 1e-6)) END, 6)::DOUBLE AS bleu, round(100 * smooth * CASE WHEN hl > rl THEN 1 ELSE exp(1 - 1 / (hl / rl + 1e-6)) END, 6)::DOUBLE AS smoothed FROM s, l""")
+def bleu_two_refs(t):
+    p = _three(t).select("conv_id", "turn", words(F.col("src")).alias("a"), words(F.col("tgt")).alias("b"), words(F.col("third")).alias("c"))
+    m = metrics.matched_ngrams(p, ["conv_id", "turn"], "a", ["b", "c"], 1, 4)
+    sums = m.agg(*[F.sum(F.when(F.col("order") == k, F.col(c))).alias(f"{c}{k}") for k in range(1, 5) for c in ("correct", "hypothesis_total")])
+    lengths = p.agg(F.sum(F.size("a")).alias("hypothesis_length"), F.sum(F.least(F.size("b"), F.when(F.col("c").isNotNull(), F.size("c")))).alias("reference_length"))
+    args = [F.col(f"correct{k}") for k in range(1, 5)], [F.col(f"hypothesis_total{k}") for k in range(1, 5)], F.col("hypothesis_length"), F.col("reference_length")
+    every = F.col("correct1") + F.col("correct2") + F.col("correct3") + F.col("correct4")
+    return sums.crossJoin(lengths).select(  # one row each
+        every.alias("correct"), "hypothesis_length", "reference_length",
+        F.round(metrics.bleu_of_least(*args), 6).alias("bleu"), F.round(metrics.bleu_of_least(*args, smooth=True), 6).alias("smoothed"),
+    )
+
+
 def _chars_sql(c):
     return f"list_filter(regexp_split_to_array(regexp_replace({c}, '\\s', '', 'g'), ''), lambda q: q <> '')"
 
@@ -162,6 +193,21 @@ def qa_em_f1(t):
     return metrics.token_f1(_answers(t), ["conv_id", "turn"], "p", "g").select("conv_id", "turn", "exact", F.round("f1", 6).alias("f1"))
 
 
+@query(f"""WITH g AS (SELECT a.conv_id, a.turn, a.text AS src, b.text AS tgt FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn + 1 AND a.turn + 2
+WHERE EXISTS (SELECT 1 FROM conversations n WHERE n.conv_id = a.conv_id AND n.turn = a.turn + 1)),
+p AS (SELECT conv_id, turn, row_number() OVER () AS k, {_ANSWER.format(normal_sql("src"))} AS a, {_ANSWER.format(normal_sql("tgt"))} AS b FROM g),
+h AS (SELECT k, w, count(*) AS n FROM (SELECT k, unnest(a) AS w FROM p) GROUP BY ALL), r AS (SELECT k, w, count(*) AS n FROM (SELECT k, unnest(b) AS w FROM p) GROUP BY ALL),
+c AS (SELECT k, sum(least(h.n, r.n)) AS same FROM h JOIN r USING (k, w) GROUP BY ALL)
+SELECT conv_id, turn, max(CAST(a = b AS INT)) AS exact, round(max(CASE WHEN len(a) = 0 OR len(b) = 0 THEN CASE WHEN len(a) = len(b) THEN 1.0 ELSE 0.0 END
+ELSE 2 * coalesce(same, 0) / (len(a) + len(b)) END)::DOUBLE, 6) AS f1 FROM p LEFT JOIN c USING (k) GROUP BY conv_id, turn""")
+def qa_best_of_golds(t):
+    def tokens(c):
+        return F.filter(F.split(normalise_answer(F.col(c)), " "), lambda w: w != "").alias(c)
+
+    d = _three(t).select("conv_id", "turn", *map(tokens, ("src", "tgt", "third")))
+    return metrics.token_f1(d, ["conv_id", "turn"], "src", ["tgt", "third"]).select("conv_id", "turn", "exact", F.round("f1", 6).alias("f1"))
+
+
 @query("""SELECT toxic AS flag, round(avg(quality) * 100, 6) AS score, count(*) AS n FROM labels GROUP BY GROUPING SETS ((), (toxic))""")
 def eval_split_groupsets(t):
     d = aggregates.split_averages(t("labels"), "toxic", "quality")

@@ -26,7 +26,7 @@ def joined(a):
 
 def turns(t):
     """Conversations with their ids and a unique ordering number."""
-    return t("conversations").select("conv_id", "turn", lengths().alias("ids"), (F.col("conv_id") * 1000 + F.col("turn")).alias("key"))
+    return t("conversations").select("conv_id", "turn", lengths().alias("ids"), (F.shiftleft("conv_id", 20) + F.col("turn")).alias("key"))
 
 
 @query(f"SELECT conv_id, turn, array_to_string(list_concat(list_concat([1], {IDS}), [2]), ' ') AS ids FROM conversations")
@@ -109,25 +109,32 @@ def doc_spans(t):
 @query(f"""WITH s AS (SELECT doc_id, start, least(64, n - start) AS length FROM {_SPANS}), p AS (SELECT doc_id, start, length, unnest(range(start, start + length)) AS pos FROM s)
 SELECT doc_id, pos, start FROM p QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY least(pos - start, start + length - 1 - pos) + 0.01 * length DESC, start) = 1""")
 def max_context(t):
-    p = _spans(t).select("doc_id", "start", "length", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("pos"))
-    # In hundredths, so that equal contexts are equal numbers.
-    score = 100 * F.least(F.col("pos") - F.col("start"), F.col("start") + F.col("length") - 1 - F.col("pos")) + F.col("length")
-    best = p.groupBy("doc_id", "pos").agg(F.max_by("start", F.struct(score, -F.col("start"))).alias("start"))
-    return best.select("doc_id", "pos", "start")
+    # A place lies in two spans at most, so its best one is found in its row, without a shuffle.
+    n = F.size(words(F.col("text")))
+    d = t("documents").select("doc_id", n.alias("n")).filter("n > 0")
+    d = d.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos"))
+    last = (F.ceil(F.greatest(F.col("n") - 64, F.lit(0)) / 32) * 32).cast("int")
+    late = F.least(F.floor(F.col("pos") / 32).cast("int") * 32, last)
+    early = F.greatest(late - 32, F.lit(0))
+
+    def score(start):  # in hundredths, so that equal contexts are equal numbers
+        stop = F.least(start + 64, F.col("n"))
+        return 100 * F.least(F.col("pos") - start, stop - 1 - F.col("pos")) + stop - start
+
+    held = F.col("pos") < early + 64
+    best = F.when(held & (score(early) >= score(late)), early).otherwise(late)
+    return d.select("doc_id", F.col("pos").cast("long").alias("pos"), best.cast("long").alias("start"))
 
 
 @query(f"""WITH b AS (SELECT item_id, pos, substr(text, pos, 1) AS c, CASE WHEN pos = 1 THEN ' ' ELSE substr(text, pos - 1, 1) END AS p
 FROM (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS pos FROM benchmark))
 SELECT item_id, pos - 1 AS pos, CAST(sum(CASE WHEN c NOT IN (' ', chr(10)) AND p IN (' ', chr(10)) THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY pos) AS BIGINT) - 1 AS word FROM b""")
 def char_to_word(t):
-    letters = F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))
-    d = t("benchmark").select("item_id", letters.alias("c"))
-    space = F.transform("c", lambda c: c.rlike("[ \t\r\n ]"))
-    d = d.select("item_id", space.alias("s"))
-    begins = F.filter(F.transform("s", lambda s, i: F.when(~s & ((i == 0) | F.get("s", i - 1)), i)), lambda i: i.isNotNull())
-    d = d.select("item_id", "s", begins.alias("b"))
-    word = F.transform("s", lambda s, i: F.size(F.filter("b", lambda b: b <= i)) - 1)
-    return d.select("item_id", F.posexplode(word).alias("pos", "word")).select("item_id", F.col("pos").cast("long").alias("pos"), F.col("word").cast("long").alias("word"))
+    # Runs of spaces and of letters by turns: each place's word is its run's, so work grows with the text alone.
+    d = t("benchmark").select("item_id", F.regexp_extract_all("text", F.lit("[ \t\r\n\u202f]+|[^ \t\r\n\u202f]+"), F.lit(0)).alias("runs"))
+    first_letters = (~F.get("runs", F.lit(0)).rlike("^[ \t\r\n\u202f]")).cast("int")
+    per_run = F.flatten(F.transform("runs", lambda r, i: F.array_repeat(F.floor((i + first_letters + 1) / 2).cast("long") - 1, F.char_length(r))))
+    return d.select("item_id", F.posexplode(per_run).alias("pos", "word")).select("item_id", F.col("pos").cast("long").alias("pos"), "word")
 
 
 @query(f"""WITH w AS (SELECT word, row_number() OVER (ORDER BY doc_id, pos) - 1 AS k, count(*) OVER () AS total FROM {WORD_ROWS})
@@ -174,20 +181,22 @@ def length_regulate(t):
 
 
 @query(f"""SELECT doc_id, CAST(sum((length(word) + 3) // 4) AS BIGINT) AS pieces, count(*) AS firsts,
-string_agg(CASE WHEN pos <= 20 THEN '1' || repeat('0', CAST((length(word) + 3) // 4 - 1 AS INT)) ELSE '' END, '' ORDER BY pos) AS mask FROM {WORD_ROWS} GROUP BY doc_id""")
+md5(string_agg('1' || repeat('0', CAST((length(word) + 3) // 4 - 1 AS INT)), '' ORDER BY pos)) AS mask FROM {WORD_ROWS} GROUP BY doc_id""")
 def subword_mask(t):
     # A word is cut into pieces of four characters; its label counts at the first alone.
     ws = words(F.col("text"))
     pieces = F.transform(ws, lambda w: F.floor((F.char_length(w) + 3) / 4).cast("int"))
     d = t("documents").select("doc_id", pieces.alias("p")).filter(F.size("p") > 0)
-    mask = F.transform(F.slice("p", 1, 20), lambda n: F.concat(F.lit("1"), F.repeat(F.lit("0"), n - 1)))
+    mask = F.transform("p", lambda n: F.concat(F.lit("1"), F.repeat(F.lit("0"), n - 1)))
     every = F.aggregate("p", F.lit(0).cast("long"), lambda s, n: s + n)
-    return d.select("doc_id", every.alias("pieces"), F.size("p").cast("long").alias("firsts"), F.array_join(mask, "").alias("mask"))
+    return d.select("doc_id", every.alias("pieces"), F.size("p").cast("long").alias("firsts"), F.md5(F.array_join(mask, "")).alias("mask"))
 
 
-@query()
+@query(f"""WITH d AS (SELECT conv_id, turn, len({WORDS.replace('text', 'src')}) AS s, len({WORDS.replace('text', 'tgt')}) AS g FROM {PAIRS}),
+b AS (SELECT *, CAST(floor(log2(greatest(s, g) + 1)) AS INT) AS band FROM d)
+SELECT conv_id * 1048576 + turn AS key, CAST(s AS BIGINT) AS s, CAST(g AS BIGINT) AS g, band || '-' || CAST(floor((sum(greatest(s, g)) OVER (PARTITION BY band ORDER BY greatest(s, g), s, conv_id, turn ROWS UNBOUNDED PRECEDING) - greatest(s, g)) / 512) AS BIGINT) AS batch FROM b""")
 def token_budget_batches(t):
-    d = pairs(t).select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), F.size(words(F.col("src"))).alias("s"), F.size(words(F.col("tgt"))).alias("g"))
+    d = pairs(t).select((F.shiftleft("conv_id", 20) + F.col("turn")).alias("key"), F.size(words(F.col("src"))).alias("s"), F.size(words(F.col("tgt"))).alias("g"))
     return order.token_budget_batches(d, "key", "s", "g", 512)
 
 

@@ -48,6 +48,19 @@ def normal_sql(text):
     return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
 
 
+# What each abbreviation must become.
+@query("""SELECT short, 'see ' || spoken || ' there, x' || short || '.' AS text FROM (VALUES ('ms', 'miss'), ('mrs', 'misess'), ('mr', 'mister'), ('messrs', 'messeurs'),
+('dr', 'doctor'), ('drs', 'doctors'), ('st', 'saint'), ('co', 'company'), ('jr', 'junior'), ('sr', 'senior'), ('rev', 'reverend'), ('hon', 'honorable'), ('sgt', 'sergeant'),
+('capt', 'captain'), ('maj', 'major'), ('col', 'colonel'), ('lt', 'lieutenant'), ('gen', 'general'), ('prof', 'professor'), ('lb', 'pounds'), ('rep', 'representative'),
+('ave', 'avenue'), ('etc', 'et cetera'), ('jan', 'january'), ('feb', 'february'), ('mar', 'march'), ('apr', 'april'), ('jun', 'june'), ('jul', 'july'), ('aug', 'august'),
+('sep', 'september'), ('oct', 'october'), ('nov', 'november'), ('dec', 'december'), ('ltd', 'limited'), ('fig', 'figure'), ('figs', 'figures'), ('gent', 'gentlemen'),
+('ft', 'fort'), ('esq', 'esquire'), ('prep', 'preperation'), ('bros', 'brothers'), ('ind', 'independent'), ('mme', 'madame'), ('pro', 'professional'), ('vs', 'versus'),
+('inc', 'include')) v(short, spoken)""")
+def abbrev_full(t):
+    d = t("region").sparkSession.createDataFrame([(s,) for s in tx.ABBREVIATIONS], "short string")
+    return d.select("short", tx.expand_abbreviations(F.concat(F.lit("see "), F.initcap("short"), F.lit(". there, x"), "short", F.lit("."))).alias("text"))
+
+
 @query(f"SELECT doc_id, md5({normal_sql('text')}) AS answer FROM documents")
 def normalise_answer(t):
     return t("documents").select("doc_id", F.md5(tx.normalise_answer(F.col("text"))).alias("answer"))
@@ -64,11 +77,14 @@ def punct_strip(t):
     return t("documents").select("doc_id", F.md5(tx.strip_punctuation(F.col("text"))).alias("digest"))
 
 
-@query()
+_SPACES = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
+
+
+@query("SELECT conv_id, turn, " + _SPACES.format(r"regexp_replace(regexp_replace(strip_accents(lower(text)), '([.!?])', ' \1', 'g'), '[^a-zA-Z.!?]+', ' ', 'g')") + " AS text FROM conversations")
 def utterance_normalise(t):
     return t("conversations").select("conv_id", "turn", tx.normalise_utterance(F.col("text")).alias("text"))
 
 
-@query()
+@query("SELECT doc_id, " + _SPACES.format(r"lower(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g'))") + " AS text FROM documents")
 def clean_en(t):
     return t("documents").select("doc_id", tx.clean_english(F.col("text")).alias("text"))
