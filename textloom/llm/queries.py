@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .html_extract import extract_text
@@ -65,5 +66,37 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+# What SQL can say of these operators, as queries of their own (see oracles.py).
+
+def base_pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_pii_spans(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of documents; and of each law's shards that their bytes, and slots, are as the law says."""
+    d = op3_histogram_shards(spark, sf_dir)
+    shards = d.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.max("slot").alias("top"), F.count_distinct("slot").alias("slots"))
+    even = shards.agg((F.max("bytes") - F.min("bytes") <= 2 * d.agg(F.max("size")).first()[0]).alias("even"), F.bool_and((F.col("top") + 1 == F.col("n")) & (F.col("slots") == F.col("n"))).alias("gapless"))
+    return d.select("doc_id", "size").join(F.broadcast(even))  # one row
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("by_rule"))
+
+
+def base_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_quality_rules(spark, sf_dir).drop("kept")
+
+
+def token_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document: its first piece begins at 0 and every piece where the one before ends."""
+    d = op8_best_fit_packing(spark, sf_dir).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max(F.col("start") + F.col("length")).alias("stop"), F.min("start").alias("start"))
+    return d.select("doc_id", (F.col("n") == F.col("stop")).alias("whole"), "start")
+
+
+COMPANIONS = (base_pii_counts, shard_sizes, url_rules, base_quality_counts, token_sums)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    own = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    return own | {f.__name__: f for f in COMPANIONS}
