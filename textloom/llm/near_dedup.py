@@ -277,9 +277,10 @@ def near_duplicates(
     )
     width = 2 * rows
     hits = nodes.select(
-        "rep", F.posexplode(F.array(*[F.xxhash64(F.substring("sig", width * k + 1, width), F.lit(k)) for k in range(bands)])).alias("band_no", "band")
+        "id", "rep", F.posexplode(F.array(*[F.xxhash64(F.substring("sig", width * k + 1, width), F.lit(k)) for k in range(bands)])).alias("band_no", "band")
     )
-    buckets = hits.groupBy("band").agg(F.min("rep").alias("centre"), F.count("*").alias("size")).filter("size > 1")
+    # The centre has the least id: in most groups the text that the others were made from.
+    buckets = hits.groupBy("band").agg(F.min(F.struct("id", "rep"))["rep"].alias("centre"), F.count("*").alias("size")).filter("size > 1")
     members = shelf.put(hits.join(buckets, "band").select("band", "band_no", "centre", "rep"), "members")
     # Each node against the centre with which it shares most bands.
     shared = members.filter("rep != centre").groupBy("rep", "centre").count()
