@@ -12,17 +12,20 @@ from pyspark.sql import functions as F
 RANGES = 256
 
 
-def running_total(df: DataFrame, order: str, value: Column, out: str = "before", then: tuple[str, ...] = ()) -> DataFrame:
+def running_total(df: DataFrame, order: str, value: Column, out: str = "before", width: int | None = None, then: tuple[str, ...] = ()) -> DataFrame:
     """df with the sum of `value` over all rows that come earlier by `order`, a unique number
     (or, with `then`, by it and the columns of `then`, unique together).
 
     Approximate quantiles of `order` part it into ranges of like numbers of rows; these are
-    totalled first, and only their totals meet in one window."""
+    totalled first, and only their totals meet in one window. width: ranges of so many order
+    values instead, for orders that are known to be dense."""
     shares = [k / RANGES for k in range(1, RANGES)]
-    cuts = sorted(set(df.agg(F.percentile_approx(order, shares, 10 * RANGES)).first()[0] or []))
+    cuts = sorted(set(df.agg(F.percentile_approx(order, shares, 10 * RANGES)).first()[0] or [])) if width is None else []
     kind = df.schema[order].dataType
     bounds = F.array(*[F.lit(c).cast(kind) for c in cuts])
     place = F.size(F.filter(bounds, lambda b: b <= F.col(order))) if cuts else F.lit(0)
+    if width is not None:
+        place = F.floor(F.col(order) / width)
     df = df.withColumn("__range", place).withColumn("__value", value)
     ranges = df.groupBy("__range").agg(F.sum("__value").alias("__sum"))
     starts = ranges.select("__range", (F.sum("__sum").over(Window.orderBy("__range")) - F.col("__sum")).alias("__start"))
@@ -30,9 +33,9 @@ def running_total(df: DataFrame, order: str, value: Column, out: str = "before",
     return df.withColumn("__inside", inside).join(F.broadcast(starts), "__range").withColumn(out, F.col("__start") + F.col("__inside")).drop("__range", "__value", "__inside", "__start")
 
 
-def ranked(df: DataFrame, order: str, out: str = "rank", then: tuple[str, ...] = ()) -> DataFrame:
+def ranked(df: DataFrame, order: str, out: str = "rank", width: int | None = None, then: tuple[str, ...] = ()) -> DataFrame:
     """df with each row's place, from 0, by a unique number (or by it and `then`)."""
-    return running_total(df, order, F.lit(1).cast("long"), out, then)
+    return running_total(df, order, F.lit(1).cast("long"), out, width, then)
 
 
 def exact_split(df: DataFrame, order: str, share: float) -> DataFrame:
@@ -49,7 +52,7 @@ def random_split(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFr
     are 'train', the rest 'dev'."""
     drawn = df.withColumn("__draw", F.conv(F.substring(shuffle_key(key, seed), 1, 15), 16, 10).cast("long"))
     cut = int(df.count() * share)
-    placed = ranked(drawn, "__draw", "__rank", (key,))
+    placed = ranked(drawn, "__draw", "__rank", then=(key,))
     return placed.withColumn("split", F.when(F.col("__rank") < cut, "train").otherwise("dev")).drop("__rank", "__draw")
 
 
@@ -60,7 +63,7 @@ def first_seen_ids(tokens: DataFrame, token: str, order: list[str], specials: li
     if len(order) == 1 and dict(tokens.dtypes)[order[0]].startswith("struct"):
         first = first.select(token, F.col(f"first.{order[0]}").alias("first"))
     names = first.schema["first"].dataType.names
-    placed = ranked(first.select(token, *[F.col(f"first.{n}").alias(f"__{k}") for k, n in enumerate(names)]), "__0", "id", tuple(f"__{k}" for k in range(1, len(names))))
+    placed = ranked(first.select(token, *[F.col(f"first.{n}").alias(f"__{k}") for k, n in enumerate(names)]), "__0", "id", then=tuple(f"__{k}" for k in range(1, len(names))))
     return placed.select(token, (F.col("id") + len(specials)).cast("long").alias("id"))
 
 
@@ -120,7 +123,7 @@ def token_budget_batches(df: DataFrame, key: str, source: str, target: str, budg
     """df with `batch`: pairs of like lengths share a batch of about `budget` tokens. Lengths
     are sorted, then the running tokens of each doubling of the length are cut by the budget."""
     out = df.withColumn("__width", F.greatest(source, target)).withColumn("__band", F.floor(F.log2(F.col("__width") + 1)).cast("int"))
-    out = running_total(out, "__width", F.col("__width"), "__before", (source, key))
+    out = running_total(out, "__width", F.col("__width"), "__before", then=(source, key))
     starts = out.groupBy("__band").agg(F.min("__before").alias("__start"))  # a row for each power of two
     place = F.floor((F.col("__before") - F.col("__start")) / budget)
     return out.join(F.broadcast(starts), "__band").withColumn("batch", F.concat_ws("-", "__band", place.cast("long"))).drop("__band", "__width", "__before", "__start")

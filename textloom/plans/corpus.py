@@ -107,7 +107,7 @@ FROM {WORD_ROWS} GROUP BY word HAVING count(*) >= 3""")
 def vocab_min_count(t):
     d = t("documents").select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "word"))
     counts = d.groupBy("word").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).filter("n >= 3")
-    placed = order.ranked(counts.select("word", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos")), "doc_id", "id", ("pos",))
+    placed = order.ranked(counts.select("word", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos")), "doc_id", "id", then=("pos",))
     return placed.select("word", "n", (F.col("id") + 4).alias("id"))
 
 
