@@ -37,5 +37,19 @@ FROM w LEFT JOIN c USING (k) LEFT JOIN l USING (k)"""
 TOKEN_SUMS = "SELECT DISTINCT doc_id, true AS whole, 0::BIGINT AS start FROM documents"
 
 
+FILTER_AUDIT = f"""WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, {_TEXT} AS text, {_WORDS} AS ws FROM documents),
+f AS (SELECT doc_id, part, CASE WHEN len(ws) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 2 ELSE 0 END + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END
++ CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask FROM w),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, step, x AS filter, bit, coalesce((SELECT sum(y.bit) FROM x y WHERE strpos(filter_order, y.x) < step), 0) AS gone FROM o, (SELECT unnest(range(1, 6)) AS step), x WHERE substr(filter_order, step, 1) = x),
+r AS (SELECT part, filter_order, step, filter, sum(CASE WHEN mask & (gone::INT | bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & gone::INT = 0 AND mask & bit > 0 THEN n ELSE 0 END) AS removed, sum(CASE WHEN mask & gone::INT > 0 AND mask & bit > 0 THEN n ELSE 0 END) AS redundant,
+sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN mask & gone::INT = 0 AND mask & bit > 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & gone::INT = 0 AND mask & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost FROM s, c GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, filter, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"base_pii_counts": BASE_PII, "shard_sizes": SHARD_SIZES, "url_rules": URL_RULES, "base_quality_counts": BASE_QUALITY, "token_sums": TOKEN_SUMS}
+    return {"base_pii_counts": BASE_PII, "shard_sizes": SHARD_SIZES, "url_rules": URL_RULES, "base_quality_counts": BASE_QUALITY, "token_sums": TOKEN_SUMS, "op12_filter_audit": FILTER_AUDIT}

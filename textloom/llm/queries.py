@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
+from .filter_audit import interaction_audit
 from .html_extract import extract_text
 from .langid import identify_languages
 from .near_dedup import near_duplicates
@@ -66,6 +67,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 # What SQL can say of these operators, as queries of their own (see oracles.py).
 
 def base_pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
