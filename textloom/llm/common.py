@@ -188,3 +188,15 @@ def drop_rows(docs: DataFrame, dropped: DataFrame, keys: dict) -> DataFrame:
         same = mine.eqNullSafe(F.col(f"__drop_{c}"))
         on = same if on is None else on & same
     return docs.join(dropped, on, "left_anti")
+
+
+def lookup_counted(rows: DataFrame, table: DataFrame, keys: list[str], value: str, count: str, total: int, spread: str) -> DataFrame:
+    """rows with `value` of the table's row of equal keys (null: none), where many rows may share
+    a key. The table has `count`, the number of rows of each key, of `total` in all: keys of more
+    than a thousandth, at most 1000, are broadcast; rows that these serve are spread by the column
+    `spread` in the join with all others, so that no key gathers many rows in one task."""
+    hot = table.filter(F.col(count) * 1000 > total).select(*keys, F.col(value).alias("__hot"))
+    cold = table.filter(F.col(count) * 1000 <= total).select(*keys, F.col(value).alias("__cold"), F.lit(0).cast("long").alias("__spread"))
+    rows = rows.join(F.broadcast(hot), keys, "left")
+    rows = rows.withColumn("__spread", F.when(F.col("__hot").isNotNull(), F.xxhash64(spread)).otherwise(F.lit(0).cast("long")))
+    return rows.join(cold, [*keys, "__spread"], "left").withColumn(value, F.coalesce("__hot", "__cold")).drop("__hot", "__cold", "__spread")

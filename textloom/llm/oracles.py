@@ -51,5 +51,23 @@ SELECT part, filter_order, CAST(step AS INT) AS step, filter, CAST(kept AS BIGIN
 CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r"""
 
 
+# h is the CRC-32 of the decimal id, by its reflected polynomial 0xEDB88320, modulo 4.
+PREFIX_TRIE = """WITH t AS (SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words, turn FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, digest, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) - 1 AS k FROM t),
+o AS (SELECT conv_id, count(*) AS own, conv_id - conv_id % 20 AS src, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+lambda crc, b: list_reduce(list_concat([xor(crc, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END))), 4294967295::BIGINT) % 4 AS h FROM k GROUP BY conv_id),
+c AS (SELECT o.*, least(o.h, coalesce(s.own, 0)) AS lent FROM o LEFT JOIN o s ON s.conv_id = o.src),
+r AS (SELECT c.conv_id, k + 1 AS depth, digest, words FROM c JOIN k ON k.conv_id = c.src AND k < h UNION ALL SELECT conv_id, lent + k - h + 1, digest, words FROM c JOIN k USING (conv_id) WHERE k >= h),
+m AS (SELECT conv_id, depth, sha256(string_agg(digest, ',') OVER (PARTITION BY conv_id ORDER BY depth)) AS p, words FROM r UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+n AS (SELECT depth, p, min(conv_id) AS conv_id, count(*) AS n, any_value(words) AS words FROM m GROUP BY depth, p),
+u AS (SELECT n.*, q.conv_id AS parent FROM n LEFT JOIN m ON m.conv_id = n.conv_id AND m.depth = n.depth - 1 LEFT JOIN n q ON q.depth = m.depth AND q.p = m.p),
+f AS (SELECT depth - 1 AS depth, parent AS conv_id, count(*) AS children FROM u WHERE depth > 0 GROUP BY ALL),
+w AS (SELECT u.*, coalesce(children, 0) AS children FROM u LEFT JOIN f USING (depth, conv_id)),
+s AS (SELECT m.depth, m.p, sum((w.n - 1) * w.words) AS saved, count(*) FILTER (w.children = 0) AS leaves FROM w JOIN m ON m.conv_id = w.conv_id AND m.depth <= w.depth GROUP BY m.depth, m.p),
+e AS (SELECT depth, p, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM m JOIN (SELECT conv_id, max(depth) AS depth FROM m GROUP BY conv_id) USING (conv_id, depth) GROUP BY depth, p)
+SELECT w.conv_id, CAST(w.depth AS BIGINT) AS depth, w.parent AS parent_conv_id, w.n AS n_convs, w.children AS n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM w JOIN s USING (depth, p) LEFT JOIN e USING (depth, p)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"base_pii_counts": BASE_PII, "shard_sizes": SHARD_SIZES, "url_rules": URL_RULES, "base_quality_counts": BASE_QUALITY, "token_sums": TOKEN_SUMS, "op12_filter_audit": FILTER_AUDIT}
+    return {"base_pii_counts": BASE_PII, "shard_sizes": SHARD_SIZES, "url_rules": URL_RULES, "base_quality_counts": BASE_QUALITY, "token_sums": TOKEN_SUMS, "op12_filter_audit": FILTER_AUDIT, "op13_prefix_trie": PREFIX_TRIE}

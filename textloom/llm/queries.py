@@ -15,6 +15,7 @@ from .langid import identify_languages
 from .near_dedup import near_duplicates
 from .packing import best_fit_packing
 from .pii import span_digest
+from .prefix_trie import conversation_trie
 from .quality_model import score_quality
 from .quality_rules import quality_rules
 from .sharding import shard_documents
@@ -71,6 +72,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    splice = (lambda c: c - c % 20, lambda c: F.crc32(c.cast("string").cast("binary")) % 4, 3)
+    return conversation_trie(table(spark, sf_dir, "conversations"), splice)
+
+
 # What SQL can say of these operators, as queries of their own (see oracles.py).
 
 def base_pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
