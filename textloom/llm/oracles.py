@@ -37,6 +37,11 @@ FROM w LEFT JOIN c USING (k) LEFT JOIN l USING (k)"""
 TOKEN_SUMS = "SELECT DISTINCT doc_id, true AS whole, 0::BIGINT AS start FROM documents"
 
 
+ARCHIVES = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+h AS (SELECT page_id, first, strlen(html) AS n, list_transform(range(8), lambda i: CAST('0x' || substr(sha1(html), 5 * i + 1, 5) AS INT)) AS v FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string(list_transform(v, lambda x: array_to_string(list_transform([15, 10, 5, 0], lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x >> k) % 32 + 1, 1)), '')), '') AS payload_digest,
+CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM h"""
+
 FILTER_AUDIT = f"""WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, {_TEXT} AS text, {_WORDS} AS ws FROM documents),
 f AS (SELECT doc_id, part, CASE WHEN len(ws) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 2 ELSE 0 END + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END
 + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask FROM w),
@@ -70,4 +75,4 @@ FROM w JOIN s USING (depth, p) LEFT JOIN e USING (depth, p)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"base_pii_counts": BASE_PII, "shard_sizes": SHARD_SIZES, "url_rules": URL_RULES, "base_quality_counts": BASE_QUALITY, "token_sums": TOKEN_SUMS, "op12_filter_audit": FILTER_AUDIT, "op13_prefix_trie": PREFIX_TRIE}
+    return {"base_pii_counts": BASE_PII, "shard_sizes": SHARD_SIZES, "url_rules": URL_RULES, "base_quality_counts": BASE_QUALITY, "token_sums": TOKEN_SUMS, "op11_warc_packages": ARCHIVES, "op12_filter_audit": FILTER_AUDIT, "op13_prefix_trie": PREFIX_TRIE}

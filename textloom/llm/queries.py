@@ -20,6 +20,7 @@ from .quality_model import score_quality
 from .quality_rules import quality_rules
 from .sharding import shard_documents
 from .url_filter import filter_urls
+from .warc import archive_round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +69,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op11_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
