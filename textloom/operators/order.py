@@ -7,35 +7,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import kept
 
-#: Ranges of the order, each a window of its own; their totals, one row each, meet in one.
-RANGES = 256
 
-
-def running_total(df: DataFrame, order: str, value: Column, out: str = "before", width: int | None = None, then: tuple[str, ...] = ()) -> DataFrame:
+def running_total(df: DataFrame, order: str, value: Column, out: str = "before", width: int | None = None, then: tuple[str, ...] = (), within: tuple[str, ...] = ()) -> DataFrame:
     """df with the sum of `value` over all rows that come earlier by `order`, a unique number
-    (or, with `then`, by it and the columns of `then`, unique together).
-
-    Approximate quantiles of `order` part it into ranges of like numbers of rows; these are
-    totalled first, and only their totals meet in one window. width: ranges of so many order
-    values instead, for orders that are known to be dense."""
-    shares = [k / RANGES for k in range(1, RANGES)]
-    cuts = sorted(set(df.agg(F.percentile_approx(order, shares, 10 * RANGES)).first()[0] or [])) if width is None else []
-    kind = df.schema[order].dataType
-    bounds = F.array(*[F.lit(c).cast(kind) for c in cuts])
-    place = F.size(F.filter(bounds, lambda b: b <= F.col(order))) if cuts else F.lit(0)
-    if width is not None:
-        place = F.floor(F.col(order) / width)
-    df = df.withColumn("__range", place).withColumn("__value", value)
-    ranges = df.groupBy("__range").agg(F.sum("__value").alias("__sum"))
-    starts = ranges.select("__range", (F.sum("__sum").over(Window.orderBy("__range")) - F.col("__sum")).alias("__start"))
-    inside = F.sum("__value").over(Window.partitionBy("__range").orderBy(order, *then).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__value")
-    return df.withColumn("__inside", inside).join(F.broadcast(starts), "__range").withColumn(out, F.col("__start") + F.col("__inside")).drop("__range", "__value", "__inside", "__start")
+    (or, with `then`, by it and the columns of `then`, unique together); within: of the rows
+    that are equal in these columns.
 
-
-def ranked(df: DataFrame, order: str, out: str = "rank", width: int | None = None, then: tuple[str, ...] = ()) -> DataFrame:
+    The rows are sorted into ranges of like sizes, once, as a table; the ranges' totals, a row
+    each, meet in one window. A value of `within` that many rows hold spans several ranges.
+    width: ranges of so many order values instead, for orders that are known to be dense."""
+    df = df.withColumn("__value", value)
+    if width is not None:
+        df = df.withColumn("__range", F.floor(F.col(order) / width))
+    else:
+        df = kept(df.repartitionByRange(*within, order, *then).withColumn("__range", F.spark_partition_id()), "ranges")
+    ranges = df.groupBy(*within, "__range").agg(F.sum("__value").alias("__sum"))
+    over = Window.partitionBy(*within).orderBy("__range")
+    starts = ranges.select(*within, "__range", (F.sum("__sum").over(over) - F.col("__sum")).alias("__start"))
+    inside = F.sum("__value").over(Window.partitionBy(*within, "__range").orderBy(order, *then).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__value")
+    starts = starts if within else F.broadcast(starts)  # a row for each range
+    return df.withColumn("__inside", inside).join(starts, [*within, "__range"]).withColumn(out, F.col("__start") + F.col("__inside")).drop("__range", "__value", "__inside", "__start")
+
+
+def ranked(df: DataFrame, order: str, out: str = "rank", width: int | None = None, then: tuple[str, ...] = (), within: tuple[str, ...] = ()) -> DataFrame:
     """df with each row's place, from 0, by a unique number (or by it and `then`)."""
-    return running_total(df, order, F.lit(1).cast("long"), out, width, then)
+    return running_total(df, order, F.lit(1).cast("long"), out, width, then, within)
 
 
 def exact_split(df: DataFrame, order: str, share: float) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import corpus, examples, files, more, scores, shape, texts  # noqa: F401  registers their queries
+from .plans import corpus, examples, files, more, scores, search, shape, texts  # noqa: F401  registers their queries
 from .plans.base import ORACLES, QUERIES
 
 
