@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .spectra import mel_features
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -249,26 +251,6 @@ def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
-def log_mel(signal: pd.Series) -> pd.Series:
-    """Log-mel frames of signals at 16 kHz: pre-emphasis 0.97, 20 ms Hann windows, 10 ms hop,
-    512-point power spectrum, 64 triangular mel filters, log with a floor of 2^-24."""
-    n_fft, window, hop, bands, rate = 512, 320, 160, 64, 16000
-    mel = np.linspace(0, 2595 * np.log10(1 + rate / 2 / 700), bands + 2)
-    edges = 700 * (10 ** (mel / 2595) - 1)
-    bins = np.linspace(0, rate / 2, n_fft // 2 + 1)
-    up, down = ((bins - edges[:-2, None]) / np.diff(edges)[:-1, None], (edges[2:, None] - bins) / np.diff(edges)[1:, None])
-    filters = np.maximum(0, np.minimum(up, down)) * (2 / (edges[2:] - edges[:-2]))[:, None]
-    shape = np.pad(np.hanning(window + 1)[:-1], (n_fft - window) // 2)
-
-    def one(x):
-        if x is None or len(x) == 0:
-            return None
-        x = np.asarray(x, float)
-        x = np.concatenate([x[:1], x[1:] - 0.97 * x[:-1]])
-        padded = np.pad(x, n_fft // 2, mode="reflect" if len(x) > n_fft // 2 else "constant")
-        frames = np.stack([padded[k : k + n_fft] for k in range(0, len(padded) - n_fft + 1, hop)])
-        power = np.abs(np.fft.rfft(frames * shape, axis=1)) ** 2
-        return [row.tolist() for row in np.log(power @ filters.T + 2.0**-24)]
-
-    return signal.map(one)
+#: Log-mel frames of signals at 16 kHz: pre-emphasis 0.97, 20 ms Hann windows, 10 ms hop,
+#: 512-point power spectrum, 64 triangular mel filters, log with a floor of 2^-24.
+log_mel = mel_features()

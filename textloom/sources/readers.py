@@ -213,11 +213,17 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("line_no", F.trim(F.regexp_replace(F.regexp_extract("value", "<seg[^>]*>(.*)</seg>", 1), "\\s+", " ")).alias("text"))
 
 
-def audio_files(spark: SparkSession, folder: str, longest: float = 10.0) -> DataFrame:
-    """(path, samples, sample_rate) of the .wav files (PCM) below a folder, up to `longest` seconds."""
+def audio_files(spark: SparkSession, folder: str, longest: float = 10.0, rate: int | None = None) -> DataFrame:
+    """(path, samples, sample_rate) of the .wav files (PCM) below a folder, up to `longest` seconds;
+    rate: all at so many samples a second."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(folder).select("path", "content")
     out = files.mapInArrow(_decoded, "path string, samples array<float>, sample_rate int")
-    return out.filter(F.size("samples") <= longest * F.col("sample_rate"))
+    out = out.filter(F.size("samples") <= longest * F.col("sample_rate"))
+    if rate is None:
+        return out
+    from ..operators.signals import resampled
+
+    return out.select("path", resampled(rate)("samples", "sample_rate").cast("array<float>").alias("samples"), F.lit(rate).alias("sample_rate"))
 
 
 def _decoded(batches):
