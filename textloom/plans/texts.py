@@ -88,3 +88,30 @@ def utterance_normalise(t):
 @query("SELECT doc_id, " + _SPACES.format(r"lower(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g'))") + " AS text FROM documents")
 def clean_en(t):
     return t("documents").select("doc_id", tx.clean_english(F.col("text")).alias("text"))
+
+
+def _number_sql(x: str) -> str:
+    high = f"concat_ws(', ', CASE WHEN {x} >= 1000000 THEN w[CAST({x} // 1000000 AS INT) + 1] || ' million' END, CASE WHEN {x} // 1000 % 1000 > 0 THEN w[CAST({x} // 1000 % 1000 AS INT) + 1] || ' thousand' END)"
+    low = f"w[CAST({x} % 1000 AS INT) + 1]"
+    return f"CASE WHEN {x} < 1000 THEN {low} WHEN {x} % 1000 = 0 THEN {high} ELSE {high} || CASE WHEN {x} % 1000 < 100 THEN ' and ' ELSE ', ' END || {low} END"
+
+
+_ORDINALS = "first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth seventeenth eighteenth nineteenth twentieth"
+
+
+@query(f"""WITH o AS (SELECT string_split('zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen', ' ') AS ones, string_split('- - twenty thirty forty fifty sixty seventy eighty ninety', ' ') AS tens, string_split('{_ORDINALS}', ' ') AS nth),
+s AS (SELECT n, CASE WHEN n % 100 < 20 THEN ones[n % 100 + 1] ELSE tens[n % 100 // 10 + 1] || CASE WHEN n % 10 > 0 THEN '-' || ones[n % 10 + 1] ELSE '' END END AS tail, ones, nth FROM o, range(1000) r(n)),
+l AS (SELECT list(CASE WHEN n < 100 THEN tail ELSE ones[n // 100 + 1] || ' hundred' || CASE WHEN n % 100 > 0 THEN ' and ' || tail ELSE '' END END ORDER BY n) AS w, any_value(nth) AS nth FROM s),
+p AS (SELECT o_orderkey AS k, CAST(floor(round(o_totalprice * 100)) AS BIGINT) AS cents, w, nth FROM orders, l)
+SELECT k AS o_orderkey, 'order ' || {_number_sql('k')} || ' costs ' || {_number_sql('(cents // 100)')} || ' dollars and ' || w[cents % 100 + 1] || CASE WHEN CAST(cents // 100 AS VARCHAR) = lpad(CAST(cents % 100 AS VARCHAR), 2, '0') THEN ' cent' ELSE ' cents' END
+|| ' at ' || w[k % 12 + 2] || CASE WHEN k % 60 > 0 THEN ' ' || w[k % 60 + 1] ELSE '' END || ' pm on the ' || nth[k % 20 + 1] || ' for ' || {_number_sql('((k % 97 + 1) * 1000 + 250)')} || ' people' AS spoken FROM p""")
+def spoken_numbers(t):
+    """Keys, prices, times, days and numbers whose thousands stand apart, of all orders."""
+    from ..functions.numbers import speak_numbers
+
+    k = F.col("o_orderkey")
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    written = F.format_string(
+        "order %d costs $%d.%02d at %d:%02dpm on the %dth for %d 250 people", k, F.floor(cents / 100), cents % 100, k % 12 + 1, k % 60, k % 20 + 1, k % 97 + 1
+    )
+    return t("orders").select("o_orderkey", tx.collapse(speak_numbers(written)).alias("spoken"))
