@@ -40,7 +40,9 @@ from .common import BROADCAST_ROWS, Shelf, arrow_rows, lookup_counted
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Bounds of a package and of a block of records that is read at once.
 PACKAGE_BYTES, PACKAGE_RECORDS = 256 << 20, 200_000
-BLOCK_BYTES, BLOCK_RECORDS = 4 << 20, 2_000
+BLOCK_BYTES, BLOCK_RECORDS = 1 << 20, 500
+#: Packed bytes that a reading task takes, and the most tasks.
+TASK_BYTES, MOST_TASKS = 8 << 20, 20_000
 #: Read of an index at once.
 INDEX_BYTES = 1 << 20
 
@@ -326,7 +328,12 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
 def read_archives(spark: SparkSession, packages: DataFrame) -> DataFrame:
     """(record_type, record_id, url, payload_digest, payload_bytes, payload, refers_to) of all
-    records of the packages (path); payload is null for revisits."""
+    records of the packages (path, size: bytes of records); payload is null for revisits.
+
+    Paths and blocks are few bytes that stand for many: the number of their partitions follows
+    what they stand for, not their own size, by which adaptive execution would merge them."""
+    n, size = packages.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    locators, readers = min(max(n, 1), MOST_TASKS), min(max(-(-size // TASK_BYTES), 1), MOST_TASKS)
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -343,8 +350,8 @@ def read_archives(spark: SparkSession, packages: DataFrame) -> DataFrame:
                 rows = list(read_block(path, start, lengths))
                 yield pa.RecordBatch.from_arrays([pa.array([r[f] for r in rows], t) for f, t in zip(fields.values(), types, strict=True)], list(fields))
 
-    paths = packages.select("path").repartition(F.col("path"))
-    blocks = paths.mapInArrow(locate, "path string, start long, lengths array<long>").repartition("path", "start")
+    paths = packages.select("path").repartition(locators, "path")
+    blocks = paths.mapInArrow(locate, "path string, start long, lengths array<long>").repartition(readers, "path", "start")
     schema = "record_type string, record_id string, url string, payload_digest string, payload_bytes long, payload binary, refers_to string"
     return blocks.mapInArrow(fetch, schema)
 
