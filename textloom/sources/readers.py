@@ -119,7 +119,7 @@ def classification(spark: SparkSession, path: str) -> DataFrame:
 PAIR_TASKS = {
     "mrpc": (3, 4, 0, True, False), "mnli": (8, 9, -1, True, True), "cola": (3, None, 1, False, False), "sst-2": (0, None, 1, True, False),
     "sts-b": (7, 8, -1, True, True), "qqp": (3, 4, 5, True, True), "qnli": (1, 2, -1, True, True), "rte": (1, 2, -1, True, True),
-    "wnli": (1, 2, -1, True, True),
+    "wnli": (1, 2, -1, True, True), "mnli-mm": (8, 9, -1, True, True),
 }
 
 
