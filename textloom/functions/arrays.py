@@ -41,6 +41,17 @@ def pad_right(a, length, value) -> Column:
     return F.concat(a, F.array_repeat(F.lit(value), F.greatest(F.lit(0), length - F.size(a))))
 
 
+def pad_matrix(rows, height, width, value) -> Column:
+    """An array of arrays with each row filled to `width` and rows of `value` up to `height`."""
+    filled = F.transform(_c(rows), lambda r: pad_right(r, width, value))
+    return F.concat(filled, F.array_repeat(F.array_repeat(F.lit(value), width), F.greatest(F.lit(0), height - F.size(_c(rows)))))
+
+
+def places(length: Column, size: Column) -> Column:
+    """1 to length, then zeros up to size."""
+    return F.transform(F.array_repeat(F.lit(0), size), lambda _, i: F.when(i < length, i + 1).otherwise(0))
+
+
 def pad_to(x: Column, k: int) -> Column:
     """The next multiple of k."""
     return x + F.pmod(k - x % k, F.lit(k))

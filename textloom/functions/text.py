@@ -136,6 +136,21 @@ def phoneme_ids(text: Column, labels: list[str], unknown: int = -1) -> Column:
     return F.transform(parts, lambda p: F.when(F.array_contains(table, p), F.array_position(table, p) - 1).otherwise(unknown).cast("int"))
 
 
+def known_tokens(tokens: Column, vocabulary: Column, unknown: str = "<UNK>") -> Column:
+    """Tokens that the vocabulary, an array, lacks are the unknown one; empty ones go."""
+    return F.transform(F.filter(tokens, lambda w: w != ""), lambda w: F.when(F.array_contains(vocabulary, w), w).otherwise(F.lit(unknown)))
+
+
+def vocabulary_ids(tokens: Column, table: Column, unknown: str = "<UNK>") -> Column:
+    """Ids of tokens by a map token -> id."""
+    return F.transform(tokens, lambda w: F.coalesce(F.element_at(table, w), F.element_at(table, F.lit(unknown))))
+
+
+def text_of_ids(ids: Column, words: Column, first_special: Column, sep: str = " ") -> Column:
+    """The inverse: tokens by id from an array, special ones, whose ids follow all others', left out."""
+    return F.array_join(F.transform(F.filter(ids, lambda k: k < first_special), lambda k: F.get(words, k.cast("int"))), sep)
+
+
 def decode_ids(ids: Column, labels: str) -> Column:
     """The inverse of char_ids()."""
     return F.array_join(F.transform(ids, lambda k: F.substr(F.lit(labels), k + 1, F.lit(1))), "")

@@ -21,6 +21,11 @@ def slot_name(name: Column) -> Column:
     return F.when(F.contains(name, F.lit("book")), F.lower(name)).otherwise(F.lower(F.replace(name, F.lit(" "), F.lit(""))))
 
 
+def domain_slots(slots: DataFrame, name: str, domains: list[str]) -> DataFrame:
+    """Rows whose slot, `domain-name`, is of one of the domains, with the name normalised."""
+    return slots.filter(F.substring_index(name, "-", 1).isin(domains)).withColumn(name, slot_name(F.col(name)))
+
+
 def joint_accuracy(slots: DataFrame, turn: list[str], right: Column) -> DataFrame:
     """(joint: share of turns with all slots right, slot: share of slots right), one row."""
     turns = slots.withColumn("__right", right).groupBy(*turn).agg(

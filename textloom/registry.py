@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import archives, corpus, examples, files, more, scores, search, shape, signals, streams, texts  # noqa: F401  registers their queries
+from .plans import archives, corpus, epochs, examples, files, more, scores, search, shape, signals, streams, texts  # noqa: F401  registers their queries
 from .plans.base import ORACLES, QUERIES
 
 

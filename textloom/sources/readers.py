@@ -193,10 +193,15 @@ def dialogues(spark: SparkSession, path: str, *, lines: bool = False) -> DataFra
     return rows.select("dialogue_idx", "domains", "turn_no", "t.domain", F.col("t.system_transcript").alias("system"), F.col("t.transcript").alias("user"), belief.alias("belief"))
 
 
-def utterance_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """(a, b) of lines with a tab between."""
+def utterance_pairs(spark: SparkSession, path: str, *, normalise: bool = False) -> DataFrame:
+    """(a, b) of lines with a tab between; normalise: both by normalise_utterance()."""
+    from ..functions.text import normalise_utterance
+
     parts = F.split("value", "\t")
-    return spark.read.text(path).select(F.get(parts, F.lit(0)).alias("a"), F.get(parts, F.lit(1)).alias("b"))
+    each = [F.get(parts, F.lit(k)) for k in (0, 1)]
+    if normalise:
+        each = [normalise_utterance(F.trim(x)) for x in each]
+    return spark.read.text(path).select(each[0].alias("a"), each[1].alias("b"))
 
 
 def corpus_lines(spark: SparkSession, folder: str) -> DataFrame:
