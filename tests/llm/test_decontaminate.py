@@ -148,3 +148,41 @@ def test_a_phrase_of_many_items_aligns_with_short_ones_alone(monkeypatch):
     words = module.WordHasher(plain=True).words(" ".join(["y"] * 50 + phrase + ["z"] * 50).encode())
     assert not [s for _, item, at, covered in items.sharing(words, np.zeros(len(words), np.int64)) if (s := items.score(item, words, at, covered))]
     assert not calls
+
+
+def test_rare_seeds_lose_no_pair():
+    """Common words, insertions, swaps and cuts: every pair that reaches the score is a candidate."""
+    draw = random.Random(21)
+    weights = [1 / (k + 1) for k in range(300)]
+    prose = lambda n: [f"w{k}" for k in draw.choices(range(300), weights, k=n)]
+    rows = [(k, prose(draw.choice([4, 6, 12, 25, 40, 60]))) for k in range(150)]
+    items = Items([(k, " ".join(w)) for k, w in rows])
+    assert sum(len(items.all_seeds[a:b]) for a, b in zip(items.bounds, items.bounds[1:])) > 1.1 * len(items.place)  # some are left out
+    hasher, reached = module.WordHasher(plain=True), 0
+    for k in range(60):
+        words = []
+        for w in rows[draw.randrange(150)][1]:
+            roll = draw.random()
+            words += [] if roll < 0.1 else [w, *prose(1)] if roll < 0.3 else prose(1) if roll < 0.4 else [w]
+        text = prose(draw.randrange(80)) + words + prose(draw.randrange(80))
+        own = hasher.words(" ".join(text).encode())
+        found = {(item, items.score(item, own, at, covered)) for _, item, at, covered in items.sharing(own, np.zeros(len(own), np.int64))}
+        found = {(item, score) for item, score in found if score}
+        want = {(i, s) for i, (_, w) in enumerate(rows) if (s := plain_alignment(w, text) / (MATCH * len(w))) >= 0.45}
+        assert found == want
+        reached += len(want)
+    assert reached > 60
+
+
+def test_items_of_few_words_are_copied_by_whole_documents(spark, documents):
+    items = spark.createDataFrame([(1, "Yes."), (2, "to be"), (3, "to be or"), (4, "yes"), (5, "...")], "item_id long, text string")
+    docs = [(1, "yes"), (2, "YES!"), (3, "oh yes"), (4, "To be, or"), (5, "be to"), (6, "..."), (7, None)]
+    found = {(r["doc_id"], r["item_id"], r["score"]) for r in benchmark_matches(documents(docs), items).collect()}
+    assert found == {(1, 1, 1.0), (1, 4, 1.0), (2, 1, 1.0), (2, 4, 1.0), (4, 3, 1.0)}
+
+
+def test_several_blocks_of_items(spark, documents, monkeypatch):
+    monkeypatch.setattr(module, "BLOCK_CHARS", 500)
+    docs, items, want = corpus()
+    found = decontaminate(documents(docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r["doc_id"]: r["item_id"] for r in found if not r["kept"]} == want
