@@ -5,7 +5,7 @@ import random
 import re
 import time
 
-from textloom.llm.pii import find_pii, redact, span_digest
+from textloom.llm.pii import BASE, find_pii, redact, span_digest
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -120,3 +120,21 @@ def test_many_matches_in_one_text_take_time_in_proportion(documents):
     out = redact(documents([(1, text)])).collect()[0]["text"]
     assert out == re.sub(r"10\.0\.\d+\.1", "[IP]", text)
     assert time.time() - began < 120
+
+
+def test_kinds_mixed_in_one_text_take_time_in_proportion(documents):
+    """Added spans (local phone numbers with their word) among base spans (e-mails): none is held against all."""
+    text = " ".join(f"mail a{k}@example.com or call 030 555 {k % 9000 + 1000}" for k in range(100_000))
+    began = time.time()
+    r = span_digest(documents([(1, text)])).collect()[0]
+    assert r["n_email"] == 100_000 and r["spans"].count(",") == 199_999
+    assert time.time() - began < 60
+
+
+def test_added_spans_give_way_to_base_spans_alone(documents):
+    draw = random.Random(8)
+    words = ["call", "030 555 1234", "+49 30 5551234", "a@b.de", "10.0.0.1", "4111 1111 1111 1111", "x", "DE89 3704 0044 0532 0130 00", "phone", "555-1234", "123-45-6789"]
+    texts = [(k, " ".join(draw.choice(words) for _ in range(40))) for k in range(60)]
+    for r in find_pii(documents(texts)).select("doc_id", "pii").collect():
+        base = [s for s in r["pii"] if s["kind"] in BASE]
+        assert all(not (b["start"] < s["stop"] and s["start"] < b["stop"]) for s in r["pii"] if s["kind"] not in BASE for b in base)

@@ -88,6 +88,29 @@ def _placed(matches: str, between: str) -> Column:
     return F.when(F.size(matches) > 0, found).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
+def _apart(spans: Column, base: Column) -> Column:
+    """The spans that overlap none of the base spans. These are put in order; of a span, those that begin
+    before its end are counted by halving, and the furthest end among them is known."""
+    def first_ones(ordered, stop):
+        """How many of the ordered spans begin before `stop`."""
+        steps = F.sequence(F.ceil(F.log2(F.size(ordered) + 1)).cast("int"), F.lit(0))
+
+        def halve(n, k):
+            more = n + F.pow(F.lit(2), k).cast("int")
+            return F.when((more <= F.size(ordered)) & (F.get(ordered, more - 1)["start"] < stop), more).otherwise(n)
+
+        return F.aggregate(steps, F.lit(0), halve)
+
+    def kept(ordered):
+        def free(stops):
+            return F.filter(spans, lambda s: F.coalesce(F.get(stops, first_ones(ordered, s["stop"]) - 1) <= s["start"], F.lit(True)))
+
+        return _running(F.transform(ordered, lambda b: b["stop"]), lambda a, b: F.greatest(a, b), F.lit(0), free)
+
+    ordered = F.array_sort(F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["stop"].alias("stop"))))
+    return F.when((F.size(base) == 0) | (F.size(spans) == 0), spans).otherwise(let(ordered, kept))
+
+
 def luhn(digits: Column) -> Column:
     """Whether a string of digits has a right Luhn checksum."""
     def add(total, i):
@@ -175,10 +198,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", out_col: str = "pii") -> D
     d = d.select("row", *around, *[_confirmed(k).alias(f"v_{k}") for k in KINDS])
     d = d.select("row", *[_scored(k, f"v_{k}").alias(f"s_{k}") for k in KINDS])
     d = d.select("row", F.concat(*[F.col(f"s_{k}") for k in BASE]).alias("base"), F.concat(*[F.col(f"s_{k}") for k in MORE]).alias("more"))
-    added = F.filter(
-        "more",
-        lambda s: (s["score"] >= LEAST_SCORE) & ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])),
-    )
+    added = _apart(F.filter("more", lambda s: s["score"] >= LEAST_SCORE), F.col("base"))
     return d.select(*[F.col("row")[c].alias(c) for c in kept], F.concat("base", added).alias(out_col))
 
 
