@@ -8,6 +8,7 @@ from ..functions import arrays, labels
 from ..functions.moses import tokenise_moses
 from ..functions.text import words
 from ..operators import examples
+from ..operators.order import ranked
 from .base import query
 from .corpus import PAIRS, WORDS, pairs
 
@@ -107,10 +108,11 @@ def capped_files(t):
 
 
 @query("""SELECT i AS id, token FROM (SELECT unnest(['[PAD]', '[UNK]', '[CLS]']) AS token, unnest(range(3)) AS i)
-UNION ALL SELECT i + 2, CASE WHEN i % 3 = 0 THEN 'p' || i ELSE '##p' || i END FROM range(1, 200) s(i)""")
+UNION ALL SELECT i + 2, CASE WHEN i % 3 = 0 THEN word ELSE '##' || word END FROM (SELECT word, row_number() OVER (ORDER BY word) - 1 AS i FROM (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS word FROM benchmark)) WHERE i > 0""")
 def piece_vocabulary(t):
-    d = t("region").sparkSession.range(200)
-    piece = F.concat(F.when(F.col("id") % 3 == 0, "▁").otherwise(""), F.lit("p"), F.col("id").cast("string"))
+    listed = t("benchmark").select(F.explode(words(F.col("text"))).alias("word")).distinct()
+    d = ranked(listed, "word", "id")
+    piece = F.concat(F.when(F.col("id") % 3 == 0, "▁").otherwise(""), "word")
     return examples.piece_vocabulary(d.select("id", piece.alias("piece")), "piece", "id", ["[PAD]", "[UNK]", "[CLS]"])
 
 

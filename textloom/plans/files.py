@@ -3,15 +3,11 @@ corpus would come, and reads them by the format's reader; the SQL says what must
 
 from __future__ import annotations
 
-import json
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..operators import filters
+from ..shared import new_path
 from ..sources import readers, writers
 from .base import query
 from .corpus import PAIRS, WORDS, pairs
@@ -19,26 +15,13 @@ from .corpus import PAIRS, WORDS, pairs
 
 def scratch(t, name: str) -> str:
     """A new path in the folder that driver and executors share."""
-    spark = t("region").sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.gettempdir()
-    return f"{root.rstrip('/')}/textloom-files-{uuid.uuid4().hex}/{name}"
+    return new_path(t("region").sparkSession, name)
 
 
 def _spark(t):
     return t("region").sparkSession
 
 
-def _one_document(t, name: str, value) -> str:
-    """Writes a JSON document (of a small table) to one file."""
-    path = scratch(t, name)
-    _spark(t).createDataFrame([(json.dumps(value, ensure_ascii=False),)], "value string").coalesce(1).write.text(path)
-    return path
-
-
 def _topped(t, top: str, rows):
     """(number, value) of a few rows as lines below a first one, in one file."""
     return _spark(t).createDataFrame([(-1, top)], "number int, value string").union(rows).orderBy("number").coalesce(1).select("value")
@@ -134,32 +117,44 @@ def source_sentence_pairs(t):
 
 @query(f"SELECT CAST(item_id AS VARCHAR) AS qas_id, text AS context, ({WORDS})[1] AS answer, item_id % 4 = 0 AS is_impossible FROM benchmark WHERE len({WORDS}) > 0")
 def source_questions(t):
-    rows = t("benchmark").select("item_id", "text", F.get(words(F.col("text")), F.lit(0)).alias("w")).filter("w is not null").collect()  # a test set's size
-    data = [{"title": "t", "paragraphs": [{"context": r["text"], "qas": [{"id": str(r["item_id"]), "question": "?", "is_impossible": r["item_id"] % 4 == 0, "answers": [{"text": r["w"], "answer_start": 0}]}]}]} for r in rows]
-    return readers.questions(_spark(t), _one_document(t, "qa", {"data": data})).select("qas_id", "context", "answer", "is_impossible")
+    rows = t("benchmark").select("item_id", "text", F.get(words(F.col("text")), F.lit(0)).alias("w")).filter("w is not null")
+    answer = F.struct(F.col("w").alias("text"), F.lit(0).alias("answer_start"))
+    question = F.struct(F.col("item_id").cast("string").alias("id"), F.lit("?").alias("question"), (F.col("item_id") % 4 == 0).alias("is_impossible"), F.array(answer).alias("answers"))
+    paragraph = F.struct(F.col("text").alias("context"), F.array(question).alias("qas"))
+    path = scratch(t, "qa")
+    rows.select(F.array(F.struct(F.lit("t").alias("title"), F.array(paragraph).alias("paragraphs"))).alias("data")).write.json(path)
+    return readers.questions(_spark(t), path, lines=True).select("qas_id", "context", "answer", "is_impossible")
 
 
-_INTENTS_SQL = "SELECT event_type AS intent, user_id, row_number() OVER (PARTITION BY event_type ORDER BY user_id) - 1 AS k FROM (SELECT DISTINCT event_type, user_id FROM events WHERE user_id < 20)"
+#: Users of one document: its utterances are numbered.
+USERS = 20
+_INTENTS_SQL = f"SELECT event_type AS intent, user_id, row_number() OVER (PARTITION BY event_type, user_id // {USERS} ORDER BY user_id) - 1 AS k FROM (SELECT DISTINCT event_type, user_id FROM events WHERE event_type IS NOT NULL AND user_id IS NOT NULL)"
 
 
 def _intent_file(t):
-    users: dict[str, list[int]] = {}
-    for r in t("events").filter("user_id < 20").select("event_type", "user_id").distinct().orderBy("event_type", "user_id").collect():  # at most 20 a type
-        users.setdefault(r["event_type"], []).append(r["user_id"])
-    intents = {kind: {"utterances": [{"data": [{"text": f"{kind} of "}, {"text": f"user {u}", "slot_name": "who"}]} for u in own]} for kind, own in users.items()}
-    entities = {kind: {"data": [{"value": f"user {u}", "synonyms": [f"u{u}", "someone"]} for u in own]} for kind, own in users.items()}
-    return _one_document(t, "intents", {"intents": intents, "entities": entities})
+    """A document for each intent and USERS users, a line each, written by many tasks."""
+    pairs_ = t("events").select("event_type", "user_id").filter("event_type is not null and user_id is not null").distinct()
+    user = F.concat(F.lit("user "), F.col("user_id").cast("string"))
+    part = lambda text, slot: F.struct(text.alias("text"), slot.alias("slot_name"))
+    utterance = F.struct(F.array(part(F.concat("event_type", F.lit(" of ")), F.lit(None).cast("string")), part(user, F.lit("who"))).alias("data"))
+    value = F.struct(user.alias("value"), F.array(F.concat(F.lit("u"), F.col("user_id").cast("string")), F.lit("someone")).alias("synonyms"))
+    docs = pairs_.groupBy("event_type", F.floor(F.col("user_id") / USERS)).agg(F.array_sort(F.collect_list(F.struct("user_id", utterance.alias("u"), value.alias("v")))).alias("x"))
+    utterances = F.struct(F.transform("x", lambda x: x["u"]).alias("utterances"))
+    values = F.struct(F.transform("x", lambda x: x["v"]).alias("data"))
+    path = scratch(t, "intents")
+    docs.select(F.create_map("event_type", utterances).alias("intents"), F.create_map("event_type", values).alias("entities")).write.json(path)
+    return path
 
 
 @query(f"SELECT intent, CAST(k AS INT) AS utterance_no, intent || ' of user ' || user_id AS sentence, 'O O who who' AS slots FROM ({_INTENTS_SQL})")
 def source_intents(t):
-    found = readers.intents(_spark(t), _intent_file(t))
+    found = readers.intents(_spark(t), _intent_file(t), lines=True)
     return found.select("intent", "utterance_no", F.array_join("tokens", " ").alias("sentence"), F.array_join("slots", " ").alias("slots"))
 
 
 @query(f"SELECT DISTINCT intent AS entity, unnest(['user ' || user_id, 'u' || user_id, 'someone']) AS value FROM ({_INTENTS_SQL})")
 def source_entities(t):
-    return readers.entities(_spark(t), _intent_file(t))
+    return readers.entities(_spark(t), _intent_file(t), lines=True)
 
 
 @query("""SELECT CAST(conv_id AS VARCHAR) AS dialogue_idx, CAST(turn AS INT) AS turn_no, text AS "user", CASE WHEN turn % 2 = 0 THEN 'north' END AS area FROM conversations""")
@@ -182,14 +177,14 @@ def source_utterance_pairs(t):
     return readers.utterance_pairs(_spark(t), path)
 
 
-@query("""SELECT lang, line FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents WHERE lang IS NOT NULL) WHERE trim(line) <> ''""")
+@query("""WITH l AS (SELECT lang, doc_id // 500 AS file, unnest(string_split(text, chr(10))) AS line FROM documents WHERE lang IS NOT NULL)
+SELECT lang, line FROM l WHERE trim(line) <> '' QUALIFY count(*) OVER (PARTITION BY lang, file) > 1""")
 def source_corpus_lines(t):
     root = scratch(t, "tree")
-    d = t("documents").filter("lang is not null").select("lang", "text")
-    for lang in [r[0] for r in d.select("lang").distinct().collect()]:  # a folder for each language
-        d.filter(F.col("lang") == lang).coalesce(1).select("text").write.text(f"{root}/{lang}")
+    d = t("documents").filter("lang is not null").select("lang", F.floor(F.col("doc_id") / 500).alias("file"), "text")
+    d.repartition("lang", "file").write.partitionBy("lang", "file").text(root)  # a file for each language and 500 ids
     found = readers.corpus_lines(_spark(t), root)
-    return found.select(F.element_at(F.split("file", "/"), -2).alias("lang"), F.col("value").alias("line"))
+    return found.select(F.regexp_extract("file", "/lang=([^/]*)/", 1).alias("lang"), F.col("value").alias("line"))
 
 
 @query("SELECT CAST(n_nationkey + 1 AS BIGINT) AS line_no, lower(n_name) AS text FROM nation")
@@ -211,12 +206,15 @@ def source_utterance_table(t):
     return found.select("utt_id", "text", F.round("duration", 6).alias("duration"))
 
 
-@query("SELECT file, there FROM (VALUES ('region', true), ('none', false)) v(file, there)")
+@query("SELECT DISTINCT event_type AS file, true AS there FROM events WHERE event_type IS NOT NULL UNION ALL SELECT DISTINCT 'no-' || event_type, false FROM events WHERE event_type IS NOT NULL")
 def source_files_exist(t):
-    path = scratch(t, "region")
-    t("region").write.parquet(path)
+    """The folder of each type of event is there, others are not."""
+    path = scratch(t, "types")
+    e = t("events").filter("event_type is not null")
+    e.select("event_type", "event_id").write.partitionBy("event_type").parquet(path)
     spark = _spark(t)
-    rows = [("region", filters.file_exists(spark, path)), ("none", filters.file_exists(spark, path, f"{os.path.dirname(path)}/none"))]
+    kinds = [r[0] for r in e.select("event_type").distinct().collect()]  # names of types
+    rows = [(k, filters.file_exists(spark, f"{path}/event_type={k}")) for k in (*kinds, *(f"no-{k}" for k in kinds))]
     return spark.createDataFrame(rows, "file string, there boolean")
 
 
@@ -238,10 +236,10 @@ def sink_tsv(t):
 
 @query(f"SELECT row_number() OVER (ORDER BY word) - 1 AS line_no, word AS value FROM (SELECT DISTINCT unnest({WORDS}) AS word FROM benchmark)")
 def sink_vocabulary(t):
-    from ..operators.order import alphabetical_ids
+    from ..operators.order import ranked
 
     path = scratch(t, "vocab")
-    ids = alphabetical_ids(t("benchmark").select(F.explode(words(F.col("text"))).alias("word")), "word", "")
+    ids = ranked(t("benchmark").select(F.explode(words(F.col("text"))).alias("word")).distinct(), "word", "id")
     writers.write_vocabulary(ids, "word", path)
     return readers.numbered_lines(_spark(t), path).select("line_no", "value")
 
@@ -259,7 +257,7 @@ SELECT 'sentences' AS file, intent || ' of user ' || user_id || chr(9) || id AS
 UNION ALL SELECT 'slots', '1 1 0 0' FROM ({_INTENTS_SQL}) UNION ALL SELECT 'dict.intents', intent FROM i UNION ALL SELECT 'dict.slots', unnest(['who', 'O'])""")
 def sink_intent_data(t):
     folder = scratch(t, "data")
-    writers.write_intent_data(readers.intents(_spark(t), _intent_file(t)), folder)
+    writers.write_intent_data(readers.intents(_spark(t), _intent_file(t), lines=True), folder)
     found = None
     for name in ("sentences", "slots", "dict.intents", "dict.slots"):
         own = _spark(t).read.text(f"{folder}/{name}").select(F.lit(name).alias("file"), "value")

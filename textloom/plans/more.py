@@ -106,11 +106,11 @@ def decode_ids(t):
     return t("benchmark").select("item_id", tx.decode_ids(tx.char_ids(F.col("text"), LETTERS), LETTERS).alias("text"))
 
 
-@query("""SELECT s.i AS step, round(CASE WHEN s.i <= 10 THEN 1.0 WHEN s.i <= 50 THEN 1.0 + (s.i - 10) / 40 * 3.0 WHEN s.i <= 200 THEN 4.0 - (s.i - 50) / 150 * 3.5 ELSE 0.5 END::DOUBLE, 8) AS value FROM range(300) s(i)""")
+@query("""SELECT o_orderkey, s.i AS step, round(CASE WHEN s.i <= 10 THEN 1.0 WHEN s.i <= 50 THEN 1.0 + (s.i - 10) / 40 * 3.0 WHEN s.i <= 200 THEN 4.0 - (s.i - 50) / 150 * 3.5 ELSE 0.5 END::DOUBLE, 8) AS value FROM (SELECT o_orderkey, o_orderkey % 300 AS i FROM orders) s""")
 def piecewise_schedule(t):
-    steps = t("region").sparkSession.range(300)
-    value = arrays.piecewise(F.col("id"), [(10, 1.0), (50, 4.0), (200, 0.5)])
-    return steps.select(F.col("id").alias("step"), F.round(value, 8).alias("value"))
+    steps = t("orders").select("o_orderkey", (F.col("o_orderkey") % 300).alias("step"))
+    value = arrays.piecewise(F.col("step"), [(10, 1.0), (50, 4.0), (200, 0.5)])
+    return steps.select("o_orderkey", "step", F.round(value, 8).alias("value"))
 
 
 @query(f"""WITH r AS (SELECT doc_id, pos - 1 AS pos, word, ('0x' || substr(md5(doc_id || ':' || (pos - 1) || ':7'), 1, 6))::BIGINT % 1000 AS u FROM {WORD_ROWS})
@@ -187,11 +187,11 @@ def splice_and_masks(t):
     return t("embeddings").select("vec_id", F.round(arrays.total(v), 5).alias("total"), F.size(v).cast("long").alias("n"), F.array_join(mask, "").alias("mask"), F.array_join(gate, "").alias("gate"))
 
 
-@query("""SELECT s.i AS position, round(sin(s.i), 6) AS first, round(cos(s.i), 6) AS second, round(sin(s.i / pow(10000.0, 0.5)), 6) AS third FROM range(200) s(i)""")
+@query("""SELECT conv_id, turn, round(sin(s.i), 6) AS first, round(cos(s.i), 6) AS second, round(sin(s.i / pow(10000.0, 0.5)), 6) AS third FROM (SELECT conv_id, turn, turn AS i FROM conversations) s""")
 def sinusoids(t):
-    row = arrays.sinusoid(F.col("id"), 4)
-    d = t("region").sparkSession.range(200).select("id", row.alias("r"))
-    return d.select(F.col("id").alias("position"), *[F.round(F.get("r", F.lit(k)), 6).alias(n) for k, n in enumerate(("first", "second", "third"))])
+    row = arrays.sinusoid(F.col("turn"), 4)
+    d = t("conversations").select("conv_id", "turn", row.alias("r"))
+    return d.select("conv_id", "turn", *[F.round(F.get("r", F.lit(k)), 6).alias(n) for k, n in enumerate(("first", "second", "third"))])
 
 
 @query("""SELECT event_type, lower(event_type) AS whole, lower(replace(event_type, '_', '')) AS packed, count(*) AS n FROM events GROUP BY event_type""")

@@ -353,12 +353,13 @@ def spec_mask(t):
     return t("embeddings").select("vec_id", F.round(arrays.total(arrays.mask_band(v, F.col("vec_id") % 50, 8)), 5).alias("total"))
 
 
-@query("""SELECT s.i AS step, round(CASE WHEN s.i < 100 THEN 0.1 * (s.i + 1) / 101 ELSE 0.5 * 0.1 * (1 + cos(pi() * s.i / 1000)) END, 8) AS cosine,
+@query("""SELECT event_id, s.i AS step, round(CASE WHEN s.i < 100 THEN 0.1 * (s.i + 1) / 101 ELSE 0.5 * 0.1 * (1 + cos(pi() * s.i / 1000)) END, 8) AS cosine,
 round(CASE WHEN s.i < 100 THEN 0.1 * (s.i + 1) / 101 ELSE 0.1 * sqrt(100.0::DOUBLE / s.i) END, 8) AS inverse_square_root,
-round(CASE WHEN s.i < 100 THEN 0.1 * (s.i + 1) / 101 ELSE 0.1 * (1000 - s.i) / 900 END, 8) AS poly FROM range(1000) s(i)""")
+round(CASE WHEN s.i < 100 THEN 0.1 * (s.i + 1) / 101 ELSE 0.1 * (1000 - s.i) / 900 END, 8) AS poly FROM (SELECT event_id, event_id % 1000 AS i FROM events) s""")
 def lr_schedules(t):
-    steps = t("region").sparkSession.range(1000)
+    steps = t("events").select("event_id", (F.col("event_id") % 1000).alias("step"))
+
     def rate(kind):
-        return F.round(arrays.learning_rate(kind, F.col("id"), base=0.1, warmup=100, steps=1000), 8).alias(kind)
+        return F.round(arrays.learning_rate(kind, F.col("step"), base=0.1, warmup=100, steps=1000), 8).alias(kind)
 
-    return steps.select(F.col("id").alias("step"), rate("cosine"), rate("inverse_square_root"), rate("poly"))
+    return steps.select("event_id", "step", rate("cosine"), rate("inverse_square_root"), rate("poly"))

@@ -49,16 +49,18 @@ def normal_sql(text):
 
 
 # What each abbreviation must become.
-@query("""SELECT short, 'see ' || spoken || ' there, x' || short || '.' AS text FROM (VALUES ('ms', 'miss'), ('mrs', 'misess'), ('mr', 'mister'), ('messrs', 'messeurs'),
+@query("""WITH s AS (SELECT short, spoken, row_number() OVER (ORDER BY short) - 1 AS k FROM (VALUES ('ms', 'miss'), ('mrs', 'misess'), ('mr', 'mister'), ('messrs', 'messeurs'),
 ('dr', 'doctor'), ('drs', 'doctors'), ('st', 'saint'), ('co', 'company'), ('jr', 'junior'), ('sr', 'senior'), ('rev', 'reverend'), ('hon', 'honorable'), ('sgt', 'sergeant'),
 ('capt', 'captain'), ('maj', 'major'), ('col', 'colonel'), ('lt', 'lieutenant'), ('gen', 'general'), ('prof', 'professor'), ('lb', 'pounds'), ('rep', 'representative'),
 ('ave', 'avenue'), ('etc', 'et cetera'), ('jan', 'january'), ('feb', 'february'), ('mar', 'march'), ('apr', 'april'), ('jun', 'june'), ('jul', 'july'), ('aug', 'august'),
 ('sep', 'september'), ('oct', 'october'), ('nov', 'november'), ('dec', 'december'), ('ltd', 'limited'), ('fig', 'figure'), ('figs', 'figures'), ('gent', 'gentlemen'),
 ('ft', 'fort'), ('esq', 'esquire'), ('prep', 'preperation'), ('bros', 'brothers'), ('ind', 'independent'), ('mme', 'madame'), ('pro', 'professional'), ('vs', 'versus'),
-('inc', 'include')) v(short, spoken)""")
+('inc', 'include')) v(short, spoken))
+SELECT c_custkey, 'see ' || spoken || ' there, x' || short || '. ' || c_name AS text FROM customer JOIN s ON k = c_custkey % (SELECT count(*) FROM s)""")
 def abbrev_full(t):
-    d = t("region").sparkSession.createDataFrame([(s,) for s in tx.ABBREVIATIONS], "short string")
-    return d.select("short", tx.expand_abbreviations(F.concat(F.lit("see "), F.initcap("short"), F.lit(". there, x"), "short", F.lit("."))).alias("text"))
+    short = F.get(F.lit(sorted(tx.ABBREVIATIONS)), (F.col("c_custkey") % len(tx.ABBREVIATIONS)).cast("int"))
+    d = t("customer").select("c_custkey", "c_name", short.alias("short"))
+    return d.select("c_custkey", tx.expand_abbreviations(F.concat(F.lit("see "), F.initcap("short"), F.lit(". there, x"), "short", F.lit(". "), "c_name")).alias("text"))
 
 
 @query(f"SELECT doc_id, md5({normal_sql('text')}) AS answer FROM documents")

@@ -142,9 +142,10 @@ _QA = (
 )
 
 
-def questions(spark: SparkSession, path: str) -> DataFrame:
-    """(qas_id, title, context, question, is_impossible, answer, answer_start, answers): a row for each question."""
-    q = spark.read.schema(_QA).option("multiLine", "true").json(path).select(F.explode("data").alias("d"))
+def questions(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """(qas_id, title, context, question, is_impossible, answer, answer_start, answers): a row for each question.
+    lines: a document on each line, so that a large file is read by many tasks; else a file is one."""
+    q = spark.read.schema(_QA).option("multiLine", str(not lines).lower()).json(path).select(F.explode("data").alias("d"))
     q = q.select("d.title", F.explode("d.paragraphs").alias("p")).select("title", "p.context", F.explode("p.qas").alias("q"))
     first = F.get("q.answers", F.lit(0))
     return q.select(
@@ -159,9 +160,10 @@ _INTENTS = (
 )
 
 
-def intents(spark: SparkSession, *paths: str) -> DataFrame:
-    """(intent, utterance_no, tokens, slots): each word with the slot of its part, O for none."""
-    rows = spark.read.schema(_INTENTS).option("multiLine", "true").json(list(paths)).select(F.explode("intents").alias("intent", "v"))
+def intents(spark: SparkSession, *paths: str, lines: bool = False) -> DataFrame:
+    """(intent, utterance_no, tokens, slots): each word with the slot of its part, O for none.
+    lines: as in questions()."""
+    rows = spark.read.schema(_INTENTS).option("multiLine", str(not lines).lower()).json(list(paths)).select(F.explode("intents").alias("intent", "v"))
     rows = rows.select("intent", F.posexplode("v.utterances").alias("utterance_no", "u"))
     parts = F.transform("u.data", lambda d: F.struct(F.filter(F.split(d["text"], "\\s+"), lambda w: w != "").alias("w"), F.coalesce(d["slot_name"], F.lit("O")).alias("s")))
     rows = rows.select("intent", "utterance_no", parts.alias("parts"))
@@ -171,9 +173,9 @@ def intents(spark: SparkSession, *paths: str) -> DataFrame:
     )
 
 
-def entities(spark: SparkSession, *paths: str) -> DataFrame:
-    """(entity, value) of all values and synonyms, each once."""
-    rows = spark.read.schema(_INTENTS).option("multiLine", "true").json(list(paths)).select(F.explode("entities").alias("entity", "v"))
+def entities(spark: SparkSession, *paths: str, lines: bool = False) -> DataFrame:
+    """(entity, value) of all values and synonyms, each once. lines: as in questions()."""
+    rows = spark.read.schema(_INTENTS).option("multiLine", str(not lines).lower()).json(list(paths)).select(F.explode("entities").alias("entity", "v"))
     rows = rows.select("entity", F.explode("v.data").alias("d"))
     return rows.select("entity", F.explode(F.array_append(F.coalesce("d.synonyms", F.array().cast("array<string>")), F.col("d.value"))).alias("value")).filter("value is not null").distinct()
 
