@@ -1,5 +1,5 @@
 """DuckDB SQL of what SQL can say of the training-data operators on whole tables: base counts of
-personal data and quality rules, hosts, paths and rules of URLs, sizes, pieces without gaps.
+personal data and quality rules, shingles of documents, hosts, paths and rules of URLs, sizes, pieces without gaps.
 Minima, models, alignments, wrappers and token ids are beyond it; tests hold them against
 brute force."""
 
@@ -16,6 +16,9 @@ CAST(len(list_filter(card, lambda c: length(c) BETWEEN 16 AND 19 AND list_sum(li
 ELSE 2 * CAST(c[length(c) - k] AS INT) - CASE WHEN CAST(c[length(c) - k] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0)) AS BIGINT) AS n_card,
 CAST(len(list_filter(phone, lambda n: n BETWEEN 8 AND 15)) AS BIGINT) AS n_phone FROM m"""
 
+SHINGLES = f"""WITH w AS (SELECT doc_id, regexp_extract_all(translate({_TEXT}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents)
+SELECT doc_id, CAST(CASE WHEN len(ws) < 2 THEN len(ws) ELSE len(list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) END AS BIGINT) AS n_shingles FROM w"""
+
 SHARD_SIZES = f"SELECT doc_id, CAST(strlen({_TEXT}) + 16 AS BIGINT) AS size, true AS even, true AS gapless FROM documents"
 
 URL_RULES = """WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -75,4 +78,4 @@ FROM w JOIN s USING (depth, p) LEFT JOIN e USING (depth, p)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"base_pii_counts": BASE_PII, "shard_sizes": SHARD_SIZES, "url_rules": URL_RULES, "base_quality_counts": BASE_QUALITY, "token_sums": TOKEN_SUMS, "op11_warc_packages": ARCHIVES, "op12_filter_audit": FILTER_AUDIT, "op13_prefix_trie": PREFIX_TRIE}
+    return {"shingle_counts": SHINGLES, "base_pii_counts": BASE_PII, "shard_sizes": SHARD_SIZES, "url_rules": URL_RULES, "base_quality_counts": BASE_QUALITY, "token_sums": TOKEN_SUMS, "op11_warc_packages": ARCHIVES, "op12_filter_audit": FILTER_AUDIT, "op13_prefix_trie": PREFIX_TRIE}

@@ -84,6 +84,10 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # What SQL can say of these operators, as queries of their own (see oracles.py).
 
+def shingle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_minhash_dedup(spark, sf_dir).select("doc_id", "n_shingles")
+
+
 def base_pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_pii_spans(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
 
@@ -110,7 +114,7 @@ def token_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", (F.col("n") == F.col("stop")).alias("whole"), "start")
 
 
-COMPANIONS = (base_pii_counts, shard_sizes, url_rules, base_quality_counts, token_sums)
+COMPANIONS = (shingle_counts, base_pii_counts, shard_sizes, url_rules, base_quality_counts, token_sums)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
