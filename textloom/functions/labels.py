@@ -103,6 +103,7 @@ def score_line(score: Column, precisions: list[Column], brevity: Column, hypothe
     """One line of a corpus score: precisions of each order, brevity penalty, ratio and lengths."""
     parts = F.concat_ws("/", *[F.format_string("%.1f", F.round(p, 1)) for p in precisions])
     ratio = F.round(hypothesis / reference, 3)
+    # Fixed value: the line's format.
     return F.format_string(
         "BLEU = %.2f %s(BP = %.3f ratio = %.3f hyp_len = %d ref_len = %d)",
         F.round(score, 2), parts, F.round(brevity, 3), ratio, hypothesis, reference,

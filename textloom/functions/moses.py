@@ -12,6 +12,7 @@ _DOT = "\ue000"
 #: A split apostrophe is preceded by a backslash: the results to match hold it.
 _APOSTROPHE = r"\\'"
 
+# The rules and their order, which make the result.
 _STEPS = [
     (_SPACE, " "), (r"[\x00-\x1f]", ""), (" +", " "), ("^ | $", ""),
     (rf"([^\s.'`,\-{_W}]|[_\p{{No}}])", " $1 "),

@@ -118,8 +118,8 @@ def batches(df: DataFrame, order: str, size: int, *, drop_last: bool = False) ->
 
 
 def token_budget_batches(df: DataFrame, key: str, source: str, target: str, budget: int) -> DataFrame:
-    """df with `batch`: pairs of like lengths share a batch of about `budget` tokens. Lengths
-    are sorted, then the running tokens of each doubling of the length are cut by the budget."""
+    """df with `batch`: pairs of like lengths share a batch of about `budget` tokens (batching.py
+    has the batches of a whole greedy pass). Lengths are sorted, then the running tokens of each doubling of the length are cut by the budget."""
     out = df.withColumn("__width", F.greatest(source, target)).withColumn("__band", F.floor(F.log2(F.col("__width") + 1)).cast("int"))
     out = running_total(out, "__width", F.col("__width"), "__before", then=(source, key))
     starts = out.groupBy("__band").agg(F.min("__before").alias("__start"))  # a row for each power of two
