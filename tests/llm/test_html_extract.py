@@ -3,7 +3,7 @@
 import random
 import time
 
-from textloom.llm.html_extract import align, blocks, expression, extract_text, slots_of, stream
+from textloom.llm.html_extract import align, blocks, expression, extract_text, matching_blocks, slots_of, stream
 
 
 def page(title, paragraphs, extra=""):
@@ -161,3 +161,25 @@ def test_names_do_not_overrule_an_article(spark):
             want[100 * h + k] = text.format(k=k * 7 + 1)
     found = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r["page_id"]: r["text"] for r in found} == want
+
+
+def test_long_pages_are_aligned_like_short_ones():
+    # 360,000 pairs of places: these were once not aligned by place, but by token alone.
+    one = [[f"p{k}:1", False, False] for k in range(600)]
+    two = one[:300] + [["h2:1", False, False]] + one[301:]
+    wrapper = align(one, two)
+    assert [i[0] for i in wrapper[299:303]] == ["p299:1", "p300:1", "h2:1", "p301:1"]
+    assert [i[2] for i in wrapper[299:303]] == [False, True, True, False]
+    assert slots_of(two, wrapper)[300] == "301"
+
+
+def test_blocks_are_those_of_difflib_at_any_length():
+    from difflib import SequenceMatcher
+
+    draw = random.Random(3)
+    for n, m, kinds in ((300, 500, 3), (900, 700, 6), (40, 2000, 2)):
+        one, two = ([draw.choice("abcdefgh"[:kinds]) for _ in range(k)] for k in (n, m))
+        kept = [t for t in one if draw.random() < 0.9]
+        for other in (two, kept, kept * 2):
+            plain = SequenceMatcher(None, one, other, autojunk=False).get_matching_blocks()
+            assert matching_blocks(one, other) == [tuple(b) for b in plain if b[2]]

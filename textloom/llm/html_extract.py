@@ -22,6 +22,7 @@ import json
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -58,9 +59,10 @@ INNER_FRAME = FRAME - frozenset("content head header main page post posts primar
 #: A slot is template if this part of its distinct pages, two at least, hold one text there; it is a
 #: list of links if this part of its characters is linked; the article's container holds this part of the text.
 TEMPLATE_PART, TEMPLATE_PAGES, LINK_PART, REGION_PART = 0.8, 2, 0.6, 0.7
-#: Distinct streams aligned in one group. Streams and wrappers whose lengths multiply beyond LONG are not
-#: aligned place by place: what one lacks is added at its end, and blocks are matched by their token.
-GROUP, LONG = 64, 250_000
+#: Distinct streams aligned in one group.
+GROUP = 64
+#: Runs of up to this product of lengths are aligned by difflib, longer ones by ranks of their parts: the same blocks.
+SHORT = 40_000
 
 
 def _names(tag: str, attributes: str, marks: frozenset, frame: frozenset = FRAME | MARKS) -> tuple[bool, bool]:
@@ -274,17 +276,24 @@ def _joined(a, b) -> list:
 
 def _with_groups(items: list, groups: list) -> list:
     """Single occurrences of another stream's repeated groups become groups, so that they align."""
+    own, seen = [_core(i) for i in items], set()
     for group in groups:
-        cores, size, out, at = [_core(i) for i in group[0]], len(group[0]), [], 0
-        own = [_core(i) for i in items]
+        cores = tuple(_core(i) for i in group[0])
+        # What a group turned into groups holds no more of it.
+        if cores in seen or seen.add(cores) or not all(c in own for c in cores):
+            continue
+        out, keys, at, size = [], [], 0, len(cores)
+        first, rest, whole = cores[0], list(cores), json.dumps(list(cores))
         while at < len(items):
-            if own[at : at + size] == cores:
+            if own[at] == first and own[at : at + size] == rest:
                 out.append([items[at : at + size], False, False])
+                keys.append(whole)
                 at += size
             else:
                 out.append(items[at])
+                keys.append(own[at])
                 at += 1
-        items = out
+        items, own = out, keys
     return items
 
 
@@ -292,18 +301,72 @@ def _groups_of(items: list) -> list:
     return [i for i in items if not isinstance(i[0], str)]
 
 
+def _ranks(items: np.ndarray) -> list[np.ndarray]:
+    """For 1, 2, 4, ... items: a number for the run of that many that begins at each place, equal for equal runs."""
+    levels, size = [items], 1
+    while 2 * size <= len(items):
+        last = levels[-1]
+        levels.append(np.unique(last[:-size] * (int(last.max()) + 1) + last[size:], return_inverse=True)[1].astype(np.int64))
+        size *= 2
+    return levels
+
+
+def _longest(levels: list[np.ndarray], a0: int, a1: int, b0: int, b1: int) -> tuple[int, int, int]:
+    """The longest run that lies in [a0, a1) and in [b0, b1), as (place, place, length): of several the
+    first in the former, then the first in the latter. Its length is found by halving."""
+    def shared(n):
+        if n == 0:
+            return a0, b0
+        k = n.bit_length() - 1
+        more, width = n - (1 << k), int(levels[k].max()) + 1
+        one, two = (levels[k][x : y - n + 1] * width + levels[k][x + more : y - n + 1 + more] for x, y in ((a0, a1), (b0, b1)))
+        both = np.isin(one, two)
+        at = int(both.argmax())
+        return (a0 + at, b0 + int((two == one[at]).argmax())) if both[at] else None
+
+    low, high = 0, min(a1 - a0, b1 - b0)
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if shared(middle) else (low, middle - 1)
+    return *shared(low), low
+
+
+def matching_blocks(one: list[str], two: list[str]) -> list[tuple[int, int, int]]:
+    """The blocks of SequenceMatcher(None, one, two, autojunk=False): the longest run that both share, then
+    the same to its left and to its right. On long sequences of few tokens that class compares all pairs of
+    places for each block; here a block of a long part costs a few sorts."""
+    codes: dict[str, int] = {}
+    numbers = np.array([codes.setdefault(t, len(codes)) for t in (*one, *two)], np.int64)
+    levels, shift = [], len(one)
+    todo, found = [(0, len(one), 0, len(two))], []
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        if (a1 - a0) * (b1 - b0) <= SHORT:
+            own = SequenceMatcher(None, one[a0:a1], two[b0:b1], autojunk=False).get_matching_blocks()
+            found += [(a0 + i, b0 + j, n) for i, j, n in own if n]
+            continue
+        levels = levels or _ranks(numbers)
+        i, j, n = _longest(levels, a0, a1, shift + b0, shift + b1)
+        if n:
+            j -= shift
+            found.append((i, j, n))
+            todo += [(a0, i, b0, j), (i + n, a1, j + n, b1)]
+    out: list[tuple[int, int, int]] = []
+    for i, j, n in sorted(found):
+        if out and out[-1][0] + out[-1][2] == i and out[-1][1] + out[-1][2] == j:
+            i, j, n = out[-1][0], out[-1][1], out.pop()[2] + n
+        out.append((i, j, n))
+    return out
+
+
 def align(one: list, two: list) -> list:
     """The union-free expression of both: equal items join, others become optional."""
     one, two = _with_groups(one, _groups_of(two)), _with_groups(two, _groups_of(one))
-    if len(one) * len(two) > LONG:
-        have = {_core(i) for i in one}
-        return one + [[i[0], i[1], True] for i in two if _core(i) not in have and not have.add(_core(i))]
-    out = []
-    for kind, i1, i2, j1, j2 in SequenceMatcher(None, [_core(i) for i in one], [_core(i) for i in two], autojunk=False).get_opcodes():
-        if kind == "equal":
-            out += [_joined(a, b) for a, b in zip(one[i1:i2], two[j1:j2], strict=True)]
-        else:
-            out += [[i[0], i[1], True] for i in one[i1:i2] + two[j1:j2]]
+    out, at, to = [], 0, 0
+    for i, j, n in (*matching_blocks([_core(i) for i in one], [_core(i) for i in two]), (len(one), len(two), 0)):
+        out += [[x[0], x[1], True] for x in one[at:i] + two[to:j]]
+        at, to = i + n, j + n
+        out += [_joined(a, b) for a, b in zip(one[i:at], two[j:to], strict=True)]
     return _fold(out)
 
 
@@ -361,10 +424,9 @@ def slots_of(items: list, wrapper: list) -> list[str]:
                 pair(x, y, f"{slot}.{k}")
 
     mine = _with_groups(items, _groups_of(wrapper))
-    if len(mine) * len(wrapper) <= LONG:
-        for i, j, n in SequenceMatcher(None, [_core(i) for i in mine], [_core(i) for i in wrapper], autojunk=False).get_matching_blocks():
-            for k in range(n):
-                pair(mine[i + k], wrapper[j + k], str(j + k))
+    for i, j, n in matching_blocks([_core(i) for i in mine], [_core(i) for i in wrapper]):
+        for k in range(n):
+            pair(mine[i + k], wrapper[j + k], str(j + k))
     return [found.get(id(leaf)) or by_token.get(leaf[0], f"?{leaf[0]}") for leaf in leaves]
 
 
