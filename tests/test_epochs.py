@@ -50,3 +50,22 @@ def test_padding_and_vocabularies(spark):
     assert list(spark.range(1).select(ids, tx.text_of_ids(ids, words, F.lit(2))).first()) == [[0, 2, 1], "a b"]
     slots = spark.createDataFrame([("hotel-Price Range",), ("hotel-book Day",), ("bus-day",), (None,)], "slot string")
     assert {r[0] for r in dialogue.domain_slots(slots, "slot", ["hotel"]).collect()} == {"hotel-pricerange", "hotel-book day"}
+
+
+def test_ngrams_of_a_batch_are_counted_a_few_rows_at_a_time():
+    import pyarrow as pa
+
+    tokens = [["a", "b", "a", None][: k % 5] for k in range(1001)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1001)), pa.array(tokens), pa.array(tokens[::-1])], ["k", "h", "r"])
+    parts = list(metrics._matched([batch], 1, 1, 2))
+    assert max(p.num_rows for p in parts) <= 2 * metrics.ROWS < 2 * len(tokens)
+    got = [tuple(r.values()) for p in parts for r in p.to_pylist()]
+    assert [r[0] for r in got if r[1] == 1] == [k for k in range(1001) if tokens[k] or tokens[1000 - k]]
+    assert all(hyp == max(0, len(tokens[k]) - n + 1) and ref == max(0, len(tokens[1000 - k]) - n + 1) for k, n, _, hyp, ref in got)
+
+
+def test_ngrams_of_a_string_are_those_of_its_characters(spark):
+    df = spark.createDataFrame([(1, "ab𝒳ab", "𝒳abé"), (2, "", "x")], "k int, h string, r string")
+    apart = df.select("k", *[F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)).alias(c) for c in ("h", "r")])
+    one, two = (sorted(metrics.matched_ngrams(d, ["k"], "h", "r", 1, 3).collect()) for d in (df, apart))
+    assert one == two and one[0][2:] == (3, 5, 4)

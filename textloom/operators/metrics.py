@@ -25,32 +25,38 @@ def word_error_rate(hypothesis: Column, reference: Column) -> Column:
     return F.when(n == 0, float("inf")).otherwise(F.sum(edit_distance(hypothesis, reference)) / n)
 
 
+#: Sentences that are Python objects at once; the rest of a batch stays Arrow's.
+ROWS = 200
+
+
 def _matched(batches, keys: int, low: int, high: int):
     """Key columns, hypothesis, references -> key columns, order, correct, both totals."""
-    for batch in batches:
-        rows, counts = [], []
-        columns = [c.to_pylist() for c in batch.columns[keys:]]
-        for k, (hypothesis, *references) in enumerate(zip(*columns, strict=True)):
-            for n in range(low, high + 1):
-                h, *others = (Counter(zip(*(tokens[j:] for j in range(n)), strict=False)) for tokens in (hypothesis or (), *(r or () for r in references)))
-                r = reduce(lambda a, b: a | b, others)  # of several references the greater count
-                if h or r:
-                    rows.append(k)
-                    counts.append((n, (h & r).total(), h.total(), r.total()))
-        out = list(zip(*counts, strict=True)) if counts else [()] * 4
-        kept = pa.array(rows, pa.int64())
-        own = [c.take(kept) for c in batch.columns[:keys]]
-        yield pa.RecordBatch.from_arrays(
-            [*own, pa.array(out[0], pa.int32()), *(pa.array(c, pa.int64()) for c in out[1:])],
-            [*batch.schema.names[:keys], "order", "correct", "hypothesis_total", "reference_total"],
-        )
+    for whole in batches:
+        for start in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(start, ROWS)
+            rows, counts = [], []
+            columns = [c.to_pylist() for c in batch.columns[keys:]]
+            for k, (hypothesis, *references) in enumerate(zip(*columns, strict=True)):
+                for n in range(low, high + 1):
+                    h, *others = (Counter(zip(*(tokens[j:] for j in range(n)), strict=False)) for tokens in (hypothesis or (), *(r or () for r in references)))
+                    r = reduce(lambda a, b: a | b, others)  # of several references the greater count
+                    if h or r:
+                        rows.append(k)
+                        counts.append((n, (h & r).total(), h.total(), r.total()))
+            out = list(zip(*counts, strict=True)) if counts else [()] * 4
+            kept = pa.array(rows, pa.int64())
+            own = [c.take(kept) for c in batch.columns[:keys]]
+            yield pa.RecordBatch.from_arrays(
+                [*own, pa.array(out[0], pa.int32()), *(pa.array(c, pa.int64()) for c in out[1:])],
+                [*batch.schema.names[:keys], "order", "correct", "hypothesis_total", "reference_total"],
+            )
 
 
 def matched_ngrams(pairs: DataFrame, keys: list[str], hypothesis: str, reference: str | list[str], low: int, high: int) -> DataFrame:
     """(keys, order, correct, hypothesis_total, reference_total) of each sentence; sentences
     without n-grams of an order have no row for it. Of several references each n-gram has its
-    greatest count; a null one has none. Matches lie inside a row, so they are counted there
-    and no n-gram is shuffled."""
+    greatest count; a null one has none. Tokens are arrays, or strings for characters. Matches
+    lie inside a row, so they are counted there and no n-gram is shuffled."""
     references = [reference] if isinstance(reference, str) else reference
     rows = pairs.select(*keys, hypothesis, *references)
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keys)]]
