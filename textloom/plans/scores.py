@@ -162,7 +162,7 @@ def _chars_sql(c):
 s AS (SELECT coalesce(correct, 0) / total AS pr, coalesce(correct, 0) / reference AS rc FROM x JOIN y USING (o) LEFT JOIN c USING (o)), m AS (SELECT avg(pr) AS p, avg(rc) AS r FROM s)
 SELECT round(100 * 5 * p * r / (4 * p + r), 6) AS chrf FROM m""")
 def chrf(t):
-    letters = [F.regexp_extract_all(F.regexp_replace(c, "\\s", ""), F.lit("(?s)."), F.lit(0)).alias(n) for c, n in (("src", "a"), ("tgt", "b"))]
+    letters = [F.regexp_replace(c, "\\s", "").alias(n) for c, n in (("src", "a"), ("tgt", "b"))]  # a string's tokens are its characters
     m = metrics.matched_ngrams(pairs(t).select("conv_id", "turn", *letters), ["conv_id", "turn"], "a", "b", 1, 6)
     orders = m.groupBy("order").agg(*[F.sum(c).alias(c) for c in ("correct", "hypothesis_total", "reference_total")])
     means = orders.filter("hypothesis_total > 0 and reference_total > 0").agg(
