@@ -182,3 +182,19 @@ def test_audio_files_at_another_rate(spark, tmp_path):
     got = {r["path"][-5]: r for r in readers.audio_files(spark, str(tmp_path), rate=16000).collect()}
     assert {len(r["samples"]) for r in got.values()} == {1600} and {r["sample_rate"] for r in got.values()} == {16000}
     assert got["a"]["samples"][100:1500] == pytest.approx(got["b"]["samples"][100:1500], abs=0.002)
+
+
+def test_a_batch_of_signals_stays_flat():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    udf = spectra.cepstra(rate=1000, n_window=20, hop=8, n_fft=32, bands=8, n_out=8).func
+    rows = pa.array([[0.5] * 64, None, [], [1.0, None]] * 2000, pa.list_(pa.float64())).slice(4)
+    tracemalloc.start()
+    found = udf(rows)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x is None for x in found[:4].to_pylist()] == [False, True, True, False] and len(found) == len(rows)
+    assert [len(found[0].as_py()), len(found[0].as_py()[0])] == [9, 8]
+    assert most < 30e6  # 4,000 matrices of 72 numbers, and one block's frames

@@ -8,17 +8,17 @@ spectrum (null)."""
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _MATRIX = T.ArrayType(T.ArrayType(T.DoubleType()))
 #: Values of frames that are transformed at once.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 
 def window(kind: str | None, n: int, *, periodic: bool) -> np.ndarray:
@@ -78,37 +78,48 @@ def _frames(x: np.ndarray, n_fft: int, hop: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, n_fft)[::hop]
 
 
-def _spectra(signals: list[np.ndarray], n_fft: int, hop: int, shape: np.ndarray) -> list[np.ndarray]:
+def _spectra(signals: Iterable[np.ndarray], n_fft: int, hop: int, shape: np.ndarray) -> Iterator[np.ndarray]:
     """(frames, n_fft // 2 + 1) power of each signal; several signals are one transform."""
-    out: list[np.ndarray] = []
     held: list[np.ndarray] = []
 
-    def flush() -> None:
+    def flush() -> Iterator[np.ndarray]:
         if held:
             power = np.abs(np.fft.rfft(np.concatenate(held) * shape, axis=1)) ** 2
-            out.extend(np.split(power, np.cumsum([len(f) for f in held])[:-1]))
+            yield from np.split(power, np.cumsum([len(f) for f in held])[:-1])
             held.clear()
 
     for x in signals:
         held.append(_frames(x, n_fft, hop))
         if sum(f.size for f in held) >= BLOCK:
-            flush()
-    flush()
-    return out
+            yield from flush()
+    yield from flush()
 
 
 def _udf(before: Callable[[np.ndarray], np.ndarray], after: Callable[[np.ndarray, int], np.ndarray], n_fft: int, hop: int, shape: np.ndarray):
-    @F.pandas_udf(_MATRIX)
-    def spectra(signal: pd.Series) -> pd.Series:
-        there = [k for k, x in enumerate(signal) if x is not None and len(x)]
-        values = [np.asarray(signal.iloc[k], float) for k in there]
-        found = dict(zip(there, _spectra([before(x) for x in values], n_fft, hop, shape), strict=True))
-        lengths = dict(zip(there, map(len, values), strict=True))
-        return pd.Series([[row.tolist() for row in after(found[k], lengths[k])] if k in found else None for k in range(len(signal))], dtype=object)
+    """Samples and matrices stay Arrow's flat values, never Python numbers; one block's frames are held at once."""
+    @F.arrow_udf(_MATRIX)
+    def spectra(signal: pa.Array) -> pa.Array:
+        values = signal.values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+        starts = signal.offsets.to_numpy()
+        there = np.flatnonzero((np.diff(starts) > 0) & signal.is_valid().to_numpy(zero_copy_only=False))
+        found = [np.zeros(0)]
+        rows, widths = np.zeros(len(signal), np.int64), np.zeros(len(signal), np.int64)
+        for k, power in zip(there, _spectra((before(values[starts[k] : starts[k + 1]]) for k in there), n_fft, hop, shape), strict=True):
+            matrix = after(power, int(starts[k + 1] - starts[k]))
+            rows[k], widths[k] = matrix.shape
+            found.append(matrix.ravel())
+        inner = pa.ListArray.from_arrays(pa.array(_bounds(np.repeat(widths, rows)), pa.int32()), pa.array(np.concatenate(found)))
+        missing = np.ones(len(signal), bool)
+        missing[there] = False
+        return pa.ListArray.from_arrays(pa.array(_bounds(rows), pa.int32()), inner, mask=pa.array(missing))
 
     return spectra
 
 
+def _bounds(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
 def _padded_window(kind: str | None, n_window: int, n_fft: int, *, periodic: bool) -> np.ndarray:
     left = (n_fft - n_window) // 2
     return np.pad(window(kind, n_window, periodic=periodic), (left, n_fft - n_window - left))
