@@ -152,3 +152,13 @@ def test_word_edges_beyond_ascii(spark):
     got = d.select(text.normalise_answer(F.col("t")).alias("a"), text.expand_abbreviations(F.col("t")).alias("e")).collect()
     assert got[0]["a"] == "élan éa"
     assert got[1]["e"] == "mister émr. x"
+
+
+def test_abbreviations_side_by_side_go_in_their_order(spark):
+    texts = ["co.ltd. xco.", "Ltd.CO.", "dr.dr.-st.", "_mr. é.mrs.\nMS.", "etc", "", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = [r["v"] for r in df.select("k", text.expand_abbreviations(F.col("t")).alias("v")).orderBy("k").collect()]
+    assert got == ["companyltd. xco.", "limitedcompany", "doctordoctor-saint", "_mr. é.misess\nmiss", "etc", "", None]
+    # One search for all of them: the others run over the runs that it finds.
+    plan = df.select(text.expand_abbreviations(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(t#") == 0 and "rlike" not in plan.lower()

@@ -47,11 +47,23 @@ def has_currency(text) -> Column:
 
 
 def expand_abbreviations(text: Column) -> Column:
-    """Spoken forms in place of abbreviations; of one with two (st.) the first. Texts without any are read once."""
-    out = text
-    for short, spoken in ABBREVIATIONS.items():
-        out = F.regexp_replace(out, f"(?i)(?<!{_IN_WORD}){short}\\.", spoken)
-    return F.when(text.rlike(f"(?i)(?<!{_IN_WORD})(?:{'|'.join(ABBREVIATIONS)})\\."), out).otherwise(text)
+    """Spoken forms in place of abbreviations; of one with two (st.) the first. One search finds all
+    runs of them ("dr." alone mostly, or "co.ltd."); in a run one goes after the other, in the order
+    of ABBREVIATIONS, and what is spoken already keeps its neighbour from being one."""
+    longest = max(map(len, ABBREVIATIONS))
+    run = f"(?i)(?<!{_IN_WORD})(?=[a-z]{{2,{longest}}}\\.)(?:(?:{'|'.join(ABBREVIATIONS)})\\.)+"
+    single = F.create_map(*[F.lit(x) for short, spoken in ABBREVIATIONS.items() for x in (f"{short}.", spoken)])
+
+    def in_turn(out):
+        for short, spoken in ABBREVIATIONS.items():
+            out = F.regexp_replace(out, f"(?i)(?<!{_IN_WORD}){short}\\.", spoken)
+        return out
+
+    def spoken(found):
+        return F.when(found.isNull(), "").otherwise(F.coalesce(F.try_element_at(single, F.lower(found)), in_turn(found)))
+
+    pieces, runs = F.split(text, run, -1), F.regexp_extract_all(text, F.lit(run), F.lit(0))
+    return F.array_join(F.zip_with(pieces, runs, lambda piece, found: F.concat(piece, spoken(found))), "")
 
 
 def spoken_punctuation(text: Column, keep: str = "'") -> Column:
