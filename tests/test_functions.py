@@ -162,3 +162,10 @@ def test_abbreviations_side_by_side_go_in_their_order(spark):
     # One search for all of them: the others run over the runs that it finds.
     plan = df.select(text.expand_abbreviations(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(t#") == 0 and "rlike" not in plan.lower()
+
+
+def test_a_word_is_drawn_once(spark):
+    df = spark.createDataFrame([(7, ["a", None, "c"] * 40)], "k int, w array<string>")
+    fates = df.select(arrays.mask_fates("w", F.col("k"), seed=7).alias("f"))
+    assert fates._jdf.queryExecution().optimizedPlan().toString().count("md5(") <= 1
+    assert set(fates.first()["f"]) >= {"masked", None} and len(fates.first()["f"]) == 120

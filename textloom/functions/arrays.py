@@ -220,12 +220,12 @@ def mask_fates(a, key: Column, *, seed: int = 0, share: float = 0.15) -> Column:
     is a digest of key, place and seed, so a rerun of a lost task draws the same."""
     first, second, last = (round(1000 * share * x) for x in (0.8, 0.9, 1.0))
 
-    def fate(_, i):
+    def draw(_, i):
         digest = F.md5(F.concat_ws(":", key.cast("string"), i.cast("string"), F.lit(str(seed))))
-        u = F.conv(F.substring(digest, 1, 6), 16, 10).cast("long") % 1000
-        return F.when(u < first, "masked").when(u < second, "other").when(u < last, "kept")
+        return F.conv(F.substring(digest, 1, 6), 16, 10).cast("long") % 1000
 
-    return F.transform(_c(a), fate)
+    # Draws are an array of their own: a lambda that names one three times makes it three times.
+    return F.transform(F.transform(_c(a), draw), lambda u: F.when(u < first, "masked").when(u < second, "other").when(u < last, "kept"))
 
 
 def learning_rate(kind: str, step: Column, *, base: float, warmup: int, steps: int, least: float = 0.0, power: float = 1.0) -> Column:
