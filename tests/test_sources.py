@@ -108,3 +108,30 @@ def test_writers(spark, tmp_path):
     assert [r[0] for r in spark.read.text(f"{tmp_path}/data/dict.slots").collect()] == ["city", "O"]
     assert sorted(r[0] for r in spark.read.text(f"{tmp_path}/data/sentences").collect()) == ["to rome\t1", "when\t0"]
     assert sorted(r[0] for r in spark.read.text(f"{tmp_path}/data/slots").collect()) == ["1", "1 0"]
+
+
+def test_numbered_lines_are_not_shuffled(spark, tmp_path):
+    texts = {"a.txt": [f"line {k} é" for k in range(400)], "b.txt": ["", "x", ""], "c.txt": []}
+    for name, lines in texts.items():
+        (tmp_path / name).write_text("".join(f"{x}\n" for x in lines), encoding="utf-8")
+    setting = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "700")  # several blocks a file
+    try:
+        rows = readers.numbered_lines(spark, str(tmp_path))
+        got = sorted((r["file"].rsplit("/", 1)[1], r["line_no"], r["value"]) for r in rows.collect())
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(setting, before)
+    assert got == sorted((name, k, x) for name, lines in texts.items() for k, x in enumerate(lines))
+    assert "SortMergeJoin" not in plan and "MapInArrow" in plan
+
+
+def test_places_go_on_where_a_block_crosses_batches():
+    import pyarrow as pa
+
+    def batch(*rows):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["value", "file", "block"])
+
+    parts = [batch(("a", "f", 0), ("b", "f", 0)), batch(("c", "f", 0), ("d", "f", 9), ("e", "g", 9)), batch(("h", "g", 9))]
+    assert [p["place"].to_pylist() for p in readers._places([*parts, parts[0].slice(2)])] == [[0, 1], [2, 0, 0], [1], []]

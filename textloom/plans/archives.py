@@ -87,16 +87,16 @@ def source_pair_tasks(t):
     numbers depend on the files and are left out."""
     from ..sources import readers
 
-    p = pairs(t)
+    line = lambda c: F.translate(c, "\n", " ").alias(c)
+    p = kept(pairs(t).select("conv_id", "turn", line("src"), line("tgt")), "pairs")  # joined once for all formats
     spark = p.sparkSession
     found = None
     for task in _TASKS:
         a, b, label, header, by_column = readers.PAIR_TASKS[task]
         width = max(a, b or 0, label) + 1 + (label < 0)
-        line = lambda c: F.translate(c, "\n", " ")
-        cells = {a: line("src"), label % width: F.concat(F.lit("l"), (F.col("turn") % 2).cast("string"))}
+        cells = {a: F.col("src"), label % width: F.concat(F.lit("l"), (F.col("turn") % 2).cast("string"))}
         if b is not None:
-            cells[b] = line("tgt")
+            cells[b] = F.col("tgt")
         if by_column:
             cells[0] = (F.col("conv_id") * 100 + F.col("turn")).cast("string")
         rows = p.select(*[cells.get(k, F.lit("-")).alias(f"c{k}") for k in range(width)])

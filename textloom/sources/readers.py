@@ -5,6 +5,9 @@ A malformed line of a strict format fails the job."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,19 +19,42 @@ def _needed(value: Column, kind: str, what: str) -> Column:
     return F.coalesce(value, F.raise_error(F.lit(f"a line has no {what}")).cast(kind))
 
 
+def _places(batches):
+    """(value, file, block) -> those with a row's place among those of its block; a task reads a block as one run."""
+    last, n = None, 0
+    for batch in batches:
+        places = []
+        for part in _runs(batch):
+            key = part["file"][0].as_py(), part["block"][0].as_py()
+            last, n = key, n if key == last else 0
+            places.append(np.arange(n, n + part.num_rows))
+            n += part.num_rows
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([*places, np.zeros(0, np.int64)]), pa.int64())], ["value", "file", "block", "place"])
+
+
+def _runs(batch: pa.RecordBatch):
+    """The runs of rows of one block."""
+    if batch.num_rows:
+        one, two = batch.slice(0, batch.num_rows - 1), batch.slice(1)
+        other = pc.or_(pc.not_equal(one["file"], two["file"]), pc.not_equal(one["block"], two["block"]))
+        edges = [0, *(np.flatnonzero(other.to_numpy(zero_copy_only=False)) + 1).tolist(), batch.num_rows]
+        for k, end in zip(edges, edges[1:], strict=False):
+            yield batch.slice(k, end - k)
+
+
 def numbered_lines(spark: SparkSession, *paths: str) -> DataFrame:
     """(file, line_no from 0, value) of text files, an empty line included.
 
-    A block of a file is numbered by itself; its first number is the sum of the lines of the
-    blocks before it, so that one large file is read by many tasks."""
-    rows = spark.read.text(list(paths)).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
-    )
+    A block of a file is numbered by the task that reads it; its first number is the sum of the lines
+    of the blocks before it, so that one large file is read by many tasks and no line is shuffled.
+    What is broadcast is a row for each block; the driver's list of files is as long."""
+    rows = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     counts = rows.groupBy("file", "block").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
-    starts = counts.select("file", "block", before.alias("first"))
-    place = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
-    return rows.withColumn("place", place).join(starts, ["file", "block"]).select("file", (F.col("first") + F.col("place")).alias("line_no"), "value")
+    starts = F.broadcast(counts.select("file", "block", before.alias("first")))
+    placed = rows.mapInArrow(_places, "value string, file string, block long, place long").join(starts, ["file", "block"], "left")
+    first = F.coalesce("first", F.raise_error(F.concat(F.lit("blocks changed while read: "), "file")).cast("long"))
+    return placed.select("file", (first + F.col("place")).alias("line_no"), "value")
 
 
 def zipped_lines(spark: SparkSession, one: str, two: str, names: tuple[str, str] = ("source", "target")) -> DataFrame:
