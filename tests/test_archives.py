@@ -100,3 +100,13 @@ def test_epochs_have_orders_of_their_own(spark):
     assert orders[0] == orders[1] != orders[2]
     for order in orders:
         assert [x[:2] for x in order] == [(s, p) for s in range(4) for p in range(10)]
+
+
+def test_a_task_reads_many_small_blocks(spark, tmp_path, monkeypatch):
+    lines = [f"line {k}" if k % 7 else " \t " for k in range(4000)]
+    (tmp_path / "a.txt").write_text("".join(f"{x}\n" for x in lines), encoding="utf-8")
+    seen, keep = [], line_index.kept
+    monkeypatch.setattr(line_index, "kept", lambda df, name: seen.append(df.rdd.getNumPartitions()) or keep(df, name))
+    found = line_index.line_index(spark, str(tmp_path), block=300)
+    assert {r["line_no"] for r in found.collect()} == {k for k in range(4000) if k % 7}
+    assert seen == [line_index._tasks(spark)] and (tmp_path / "a.txt").stat().st_size // 300 > 2 * seen[0]

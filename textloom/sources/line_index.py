@@ -16,12 +16,18 @@ from ..shared import file_system, kept
 
 #: Bytes between two wanted lines that are read rather than passed over, and bytes read at once.
 GAP, SPAN = 64 << 10, 4 << 20
+#: Bytes of small blocks that a task reads, where that makes more tasks than a few for each core.
+TASK_BYTES = 128 << 20
+
+
+def _tasks(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, 1) * 4
 
 
 def line_index(spark: SparkSession, *paths: str, blank: bool = False, block: int | None = None) -> DataFrame:
     """(file, line_no from 0, offset, n_bytes) of the lines of text files, or of the *.txt files below
     folders; n_bytes is without the line's end. blank: lines of white space alone, too. block: so
-    many bytes for a task, instead of the session's setting."""
+    many bytes for a block, instead of the session's setting; then a task reads several."""
     reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
     name = "spark.sql.files.maxPartitionBytes"
     before = spark.conf.get(name)
@@ -31,8 +37,10 @@ def line_index(spark: SparkSession, *paths: str, blank: bool = False, block: int
         size = F.octet_length("value").cast("long")
         rows = reader.text(list(paths)).select(
             F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), size.alias("size"),
-            F.when(F.col("value").endswith("\r"), size - 1).otherwise(size).alias("n_bytes"), F.trim(F.regexp_replace("value", "[\\s\\u00A0\\u0099]+", " ")).alias("__text"),
-        ).withColumn("blank", F.col("__text") == "").drop("__text")
+            F.when(F.col("value").endswith("\r"), size - 1).otherwise(size).alias("n_bytes"), (~F.col("value").rlike("[^\\s\\u00A0\\u0099]")).alias("blank"),
+        )
+        if block:  # a task takes many small blocks
+            rows = rows.coalesce(max(_tasks(spark), rows.rdd.getNumPartitions() * block // TASK_BYTES))
         rows = kept(rows, "lines")  # the blocks are those of now
     finally:
         spark.conf.set(name, before)
@@ -50,7 +58,7 @@ def line_index(spark: SparkSession, *paths: str, blank: bool = False, block: int
 def lines_at(index: DataFrame, tasks: int | None = None) -> DataFrame:
     """index (file, offset, n_bytes, and others) with `line`: the text at each place. A task's places are
     neighbours; near ones are read together, bytes that are no UTF-8 are replaced."""
-    n = tasks or max(index.sparkSession.sparkContext.defaultParallelism, 1) * 4
+    n = tasks or _tasks(index.sparkSession)
     columns = [f.name for f in index.schema]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in index.schema), "line string"])
 
