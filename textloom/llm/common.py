@@ -33,15 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
 class Shelf:
     """Intermediate tables of one operator call, as Parquet in the shared folder.
 
-    A written table cuts the lineage and survives the loss of any executor."""
+    A written table cuts the lineage and survives the loss of any executor. codec: that of the
+    files, Spark's own where None."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, codec: str | None = None):
         self.spark = spark
+        self.codec = codec
         self.root = f"{shared_dir(spark)}/textloom-{name}-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path, compression=self.codec)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -584,7 +584,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     are each returned; other columns are not read; an empty table gives no rows."""
     spark = pages.sparkSession
     arrow_rows(spark, 200)
-    shelf = Shelf(spark, "html")
+    shelf = Shelf(spark, "html", "zstd")
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), "://([^/?#]*)", 1))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
     kinds = [f"{n} {pages.schema[c].dataType.simpleString()}" for n, c in (("page_id", id_col), ("url", url_col))]
@@ -596,7 +596,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     # What each slot holds, over distinct pages: a page counts once for each text of a slot.
     once = parsed.groupBy("host", "page").agg(F.first(F.struct(F.xxhash64("stream").alias("of"), "held")).alias("b")).select("host", "b.of", F.explode("b.held").alias("h"))
     each = once.join(slots, ["host", "of"]).select("host", F.get("slots", F.col("h.leaf")).alias("slot"), "h.mark", "h.size", "h.links", "h.first")
-    texts = each.groupBy("host", "slot", "mark").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("size", "links", "first")])
+    texts = shelf.put(each.groupBy("host", "slot", "mark").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("size", "links", "first")]), "slot_texts")
     held = shelf.put(texts.groupBy("host", "slot").agg(F.sum("first").alias("pages"), F.sum("size").alias("size"), F.sum("links").alias("linked")), "slots")
     fixed = texts.filter(F.col("n") >= TEMPLATE_PAGES).join(held.select("host", "slot", "pages"), ["host", "slot"]).filter(F.col("n") >= TEMPLATE_PART * F.col("pages"))
     # At most 1 / TEMPLATE_PART texts for each block that a page has in the slot.
