@@ -152,3 +152,40 @@ def test_sampling_repeats_by_seed_and_follows_the_shares(spark, chain):
     assert cold == pytest.approx(0.5**4 / (0.5**4 + 2 * 0.25**4), abs=0.04)
     assert all("</s>" not in t[:-1] for t in draw(k=3, steps=6, seed=1).values())
     assert generation.sampled(prompts.limit(0), "k", "w", chain, k=2, steps=2, end="</s>").count() == 0
+
+
+@pytest.fixture(scope="module")
+def pair_counts(spark):
+    return generation.pair_counts(spark.createDataFrame(TEXTS, "w array<string>"), "w", "</s>")
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_sampling_from_counts_equals_that_from_transitions(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(generation, "BROADCAST_STATES", 0)
+        monkeypatch.setattr(generation, "BROADCAST_KEYS", 0)
+    # Of state x: counts on both sides of floors, ties across the third place; y has fewer tokens than are drawn from.
+    counts = [("x", t, n) for t, n in zip("abcdefgh", (40, 9, 8, 8, 8, 3, 2, 1))] + [("y", "x", 5), ("y", "</s>", 1)] + [(t, "y", 2) for t in "abcdef"]
+    pairs = spark.createDataFrame(counts, "state string, token string, n long")
+    totals = pairs.groupBy("state").agg(F.sum("n").alias("total"))
+    shares = pairs.join(totals, "state").select("state", "token", F.round(F.log(F.col("n") / F.col("total")), 9).alias("logp"))
+    prompts = spark.range(300).select(F.col("id").alias("k"), F.element_at(F.array(*map(F.lit, ["x", "y", "nowhere", "</s>"])), (F.col("id") % 4 + 1).cast("int")).alias("w"))
+    for k in (3, 10) if few else (3,):
+        draw = lambda table: sorted(map(tuple, generation.sampled(prompts, "k", "w", table, k=k, steps=6, end="</s>", seed=5).collect()))  # noqa: B023, E731
+        assert draw(pairs) == draw(shares)
+
+
+def test_only_states_that_the_prompts_reach_are_ranked(spark, pair_counts, monkeypatch):
+    ranked, plain = [], generation.likeliest
+
+    def spied(table, k):
+        ranked.append(sorted(r[0] for r in table.select("state").distinct().collect()))
+        return plain(table, k)
+
+    monkeypatch.setattr(generation, "likeliest", spied)
+    prompts = spark.createDataFrame([(1, "b"), (2, "b"), (3, "c")], "k long, w string")
+    got = generation.sampled(prompts, "k", "w", pair_counts, k=2, steps=5, end="</s>", seed=1).collect()
+    assert len(got) == 3 and all(r["tokens"][-1] in ("</s>", "d", "a", "b", "c") for r in got)
+    # Each state once, when it is first met; all states were ranked before, at the start.
+    assert ranked[0] == ["b", "c"] and len(sum(ranked, [])) == len(set(sum(ranked, [])))
+    assert generation.sampled(prompts.limit(0), "k", "w", pair_counts, k=2, steps=2, end="</s>").count() == 0

@@ -114,6 +114,10 @@ def _chain(t):
     return generation.transitions(t("documents").select(words(F.col("text")).alias("a")), "a", END)
 
 
+def _counts(t):
+    return generation.pair_counts(t("documents").select(words(F.col("text")).alias("a")), "a", END)
+
+
 def _prompts(t):
     first = t("conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
     return first.select("conv_id", F.element_at(words(F.col("text")), -1).alias("word")).filter("word is not null")
@@ -137,5 +141,5 @@ UNION ALL SELECT conv_id, step + 1, CASE WHEN token IS NULL THEN tokens ELSE lis
 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY round(best.logp / 0.7 - ln(-ln((('0x' || substr(md5('3:' || conv_id || ':' || step || ':' || token), 1, 12))::BIGINT + 0.5) / 281474976710656.0)), 9) DESC, token DESC) = 1)
 SELECT conv_id, array_to_string(tokens, ' ') AS text, round(logp, 6) AS logp FROM b WHERE step = {STEPS}""")
 def generate_sampled(t):
-    found = generation.sampled(_prompts(t), "conv_id", "word", _chain(t), k=10, steps=STEPS, end=END, temperature=0.7, seed=3)
+    found = generation.sampled(_prompts(t), "conv_id", "word", _counts(t), k=10, steps=STEPS, end=END, temperature=0.7, seed=3)
     return found.select("conv_id", F.array_join("tokens", " ").alias("text"), F.round("logp", 6).alias("logp"))
