@@ -189,3 +189,11 @@ def test_only_states_that_the_prompts_reach_are_ranked(spark, pair_counts, monke
     # Each state once, when it is first met; all states were ranked before, at the start.
     assert ranked[0] == ["b", "c"] and len(sum(ranked, [])) == len(set(sum(ranked, [])))
     assert generation.sampled(prompts.limit(0), "k", "w", pair_counts, k=2, steps=2, end="</s>").count() == 0
+
+
+@pytest.mark.parametrize(("width", "penalty"), [(1, 0.0), (2, 1.5)])
+def test_beam_search_from_counts_equals_a_plain_loop(spark, chain, pair_counts, width, penalty):
+    starts = ["a", "b", "c", "d", "nowhere"]
+    prompts = spark.createDataFrame(list(enumerate(starts)), "k long, w string")
+    got = {r["k"]: r["tokens"] for r in generation.beam_search(prompts, "k", "w", pair_counts, width=width, steps=4, end="</s>", penalty=penalty).collect()}
+    assert got == {k: plain_beam(table(chain), w, width, 4, penalty) for k, w in enumerate(starts)}

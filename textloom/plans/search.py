@@ -110,10 +110,6 @@ SELECT conv_id, array_to_string(tokens, ' ') AS text, round(logp / pow(1 + len(l
 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY round(logp / pow(1 + len(list_filter(tokens, lambda x: x <> '{END}')), {{pen}}), 9) DESC, tokens) = 1"""
 
 
-def _chain(t):
-    return generation.transitions(t("documents").select(words(F.col("text")).alias("a")), "a", END)
-
-
 def _counts(t):
     return generation.pair_counts(t("documents").select(words(F.col("text")).alias("a")), "a", END)
 
@@ -125,13 +121,13 @@ def _prompts(t):
 
 @query(_SEARCH.format(k=1, pen="0.0"))
 def generate_greedy(t):
-    found = generation.beam_search(_prompts(t), "conv_id", "word", _chain(t), width=1, steps=STEPS, end=END)
+    found = generation.beam_search(_prompts(t), "conv_id", "word", _counts(t), width=1, steps=STEPS, end=END)
     return found.select("conv_id", F.array_join("tokens", " ").alias("text"), F.round("score", 6).alias("score"))
 
 
 @query(_SEARCH.format(k=WIDTH, pen=PENALTY))
 def generate_beam(t):
-    found = generation.beam_search(_prompts(t), "conv_id", "word", _chain(t), width=WIDTH, steps=STEPS, end=END, penalty=PENALTY)
+    found = generation.beam_search(_prompts(t), "conv_id", "word", _counts(t), width=WIDTH, steps=STEPS, end=END, penalty=PENALTY)
     return found.select("conv_id", F.array_join("tokens", " ").alias("text"), F.round("score", 6).alias("score"))
 
 
