@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from textloom.llm.components import components
 from textloom.llm.common import Shelf
 from textloom.llm.near_dedup import near_duplicates
@@ -173,3 +175,83 @@ def test_no_private_folder_on_a_cluster():
     far = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda *_: None), sparkContext=types.SimpleNamespace(master="yarn", getConf=lambda: {}))
     with pytest.raises(RuntimeError, match="checkpoint"):
         shared_dir(far)
+
+
+def linked(edges):
+    root = {}
+
+    def find(k):
+        root.setdefault(k, k)
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in edges:
+        p, q = sorted((find(a), find(b)))
+        root[q] = p
+    return {k: find(k) for a, b in edges if a != b for k in (a, b)}
+
+
+@pytest.mark.parametrize("most", [1_000_000, -1])
+def test_components_after_further_edges(spark, monkeypatch, most):
+    from textloom.llm import components as c
+
+    monkeypatch.setattr(c, "BROADCAST_IDS", most)
+    draw = random.Random(11)
+    old = [(draw.randrange(150), draw.randrange(150)) for _ in range(60)] + [(5, 5), (400, 399), (399, 398)]
+    new = [(draw.randrange(300), draw.randrange(300)) for _ in range(60)] + [(9, 9), (398, 400), (500, 501), (501, 500)]
+    frame = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    shelf = Shelf(spark, "test")
+    found = components(frame(old), shelf)
+    assert {r["node"]: r["component"] for r in found.collect()} == linked(old)
+    more = c.joined(found, frame(new), shelf, "more")
+    loops = {(a, b) for a, b in new if a == b}
+    assert sorted(map(tuple, more.collect())) == sorted(linked(old + [e for e in new if e not in loops]).items())
+    assert sorted(map(tuple, c.joined(found, frame([]), shelf, "none").collect())) == sorted(linked(old).items())
+    assert sorted(map(tuple, c.joined(components(frame([]), shelf, "cc9"), frame(new), shelf, "first").collect())) == sorted(linked(new).items())
+
+
+def groups(seed):
+    """One group of near copies, one of exact ones, chains, and texts alone."""
+    draw = random.Random(seed)
+    base, chain, rows = [f"a{k}" for k in range(40)], [f"c{k}" for k in range(60)], []
+    for k in range(40):
+        copy = list(base)
+        for _ in range(draw.randrange(5)):
+            copy[draw.randrange(40)] = f"b{draw.randrange(900)}"
+        rows.append((k, " ".join(copy)))
+        chain[k] = f"d{k}"
+        rows.append((900 - k, " ".join(chain)))
+        rows.append((100 + k, "one text that many rows hold as it is"))
+        rows.append((200 + k, " ".join(f"e{draw.randrange(9000)}" for _ in range(20))))
+    return rows
+
+
+def test_tables_too_large_to_be_sent(documents, monkeypatch):
+    from textloom.llm import components as c
+    from textloom.llm import near_dedup
+
+    for module in (c, near_dedup):
+        monkeypatch.setattr(module, "BROADCAST_IDS", -1)
+    assert got(near_duplicates(documents(groups(1)), words=2)) == brute(groups(1), 2)
+
+
+def test_few_shuffles(spark, documents):
+    """Each exchange costs as many tasks as there are shuffle partitions."""
+    held = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    docs = documents(groups(2))
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("few_shuffles", "")
+        assert got(near_duplicates(docs, words=2)) == brute(groups(2), 2)
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("few_shuffles") for s in tracker.getJobInfo(j).stageIds}
+        infos = [i for i in map(tracker.getStageInfo, stages) if i]
+        # of 16 tasks: an exchange's reading side
+        assert sum(i.numCompletedTasks >= 16 for i in infos) <= 50
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+        for k, v in before.items():
+            spark.conf.set(k, v)

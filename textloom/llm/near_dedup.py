@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Shelf, WordHasher, arrow_rows, blocks_of, shingle_set
-from .components import components
+from .components import BROADCAST_IDS, components, joined, small
 
 BANDS, ROWS = 36, 5
 #: Signatures that agree in a smaller part are not confirmed on full sets.
@@ -30,8 +30,6 @@ SCREEN = 0.65
 #: Nodes of one block when an unresolved bucket is compared, and the shingle hashes that each
 #: then carries: with 1024 the estimate's standard error is 0.0125, and 6 % are allowed.
 BLOCK, LEAST = 1024, 1024
-#: So many ids are sent to all executors to thin a scan; beyond it the join shuffles.
-BROADCAST_IDS = 1_000_000
 
 
 def _hash_family(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -209,11 +207,10 @@ def _likely(batches, screen: float, percent: int, rows_per_band: int, bands: int
 
 
 def _texts_of(nodes: DataFrame, ids: DataFrame, texts: DataFrame, shelf: Shelf, name: str) -> DataFrame:
-    """(rep, text) of the nodes in ids (rep), as a table: each node's text is that of one document."""
+    """(rep, blocks, text) of the nodes in ids (rep, blocks), as a table: each node's text is that of one document."""
     n = ids.count()
-    wanted = nodes.select("rep", "id", "hash").join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "rep", "left_semi")
-    wanted = F.broadcast(wanted) if n <= BROADCAST_IDS else wanted
-    found = shelf.put(texts.join(wanted, ["id", "hash"]).select("rep", "text"), f"{name}_texts")
+    wanted = small(nodes.select("rep", "id", "hash").join(small(ids, n), "rep"), n)
+    found = shelf.put(texts.join(wanted, ["id", "hash"]).select("rep", "blocks", "text"), f"{name}_texts")
     if found.count() > n:  # repeated rows
         found = shelf.put(found.dropDuplicates(["rep"]), f"{name}_texts1")
     return found
@@ -223,26 +220,28 @@ def _texts_of(nodes: DataFrame, ids: DataFrame, texts: DataFrame, shelf: Shelf,
 PARTNERS = 512
 
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shelf: Shelf, name: str, words: int, percent: int) -> DataFrame:
-    """The pairs (of nodes) that hold on full sets, as a table."""
-    pairs = shelf.put(pairs, f"{name}_pairs")
-    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    if pairs.isEmpty():
-        return pairs
-    wanted = _texts_of(nodes, shelf.put(ids, f"{name}_ids"), texts, shelf, name)
+def _confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shelf: Shelf, name: str, words: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Of the pairs (of nodes; a table without repeated rows) those that hold on full sets, as a
+    table, and the table of all their texts (none without pairs)."""
+    n = pairs.count()
+    if not n:
+        return pairs, None
     # A document with many partners is dealt over several blocks, each with a copy of its text.
-    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("blocks")).filter("blocks > 1")
-    left = wanted.select(F.col("rep").alias("a"), F.col("text").alias("text_a")).join(hubs, "a", "left")
-    left = left.select("a", "text_a", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"))
+    ends = pairs.select(F.col("a").alias("rep"), F.lit(1).alias("one")).union(pairs.select("b", F.lit(0)))
+    ids = ends.groupBy("rep").agg(F.greatest(F.ceil(F.sum("one") / PARTNERS), F.lit(1)).cast("int").alias("blocks"))
+    ids = shelf.put(ids, f"{name}_ids")
+    wanted = _texts_of(nodes, ids, texts, shelf, name)
+    hubs = small(ids.filter("blocks > 1").select(F.col("rep").alias("a"), "blocks"), n // PARTNERS)
+    left = wanted.select(F.col("rep").alias("a"), F.col("text").alias("text_a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     both = (
         pairs.join(hubs, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"))
         .join(wanted.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
         .join(left, ["a", "block"])
         .select("a", "b", "text_a", "text_b")
     )
-    edges = shelf.put(both.mapInArrow(partial(_confirmed, words=words, percent=percent), "a long, b long").distinct(), f"{name}_edges")
-    shelf.drop(f"{name}_texts", f"{name}_texts1", f"{name}_ids")
-    return edges
+    edges = shelf.put(both.mapInArrow(partial(_confirmed, words=words, percent=percent), "a long, b long"), f"{name}_edges")
+    shelf.drop(f"{name}_ids")
+    return edges, wanted
 
 
 def near_duplicates(
@@ -282,25 +281,33 @@ def near_duplicates(
     # The centre has the least id: in most groups the text that the others were made from.
     buckets = hits.groupBy("band").agg(F.min(F.struct("id", "rep"))["rep"].alias("centre"), F.count("*").alias("size")).filter("size > 1")
     members = shelf.put(hits.join(buckets, "band").select("band", "band_no", "centre", "rep"), "members")
-    # Each node against the centre with which it shares most bands.
-    shared = members.filter("rep != centre").groupBy("rep", "centre").count()
+    # Each node against the centre with which it shares most bands. A node has a row for each band
+    # at most, so that all further steps up to its signature stay where its rows are.
+    shared = members.filter("rep != centre").select("rep", "centre").repartition("rep").groupBy("rep", "centre").count()
     star = shared.groupBy("rep").agg(F.max_by("centre", F.struct("count", -F.col("centre"))).alias("a")).select("a", F.col("rep").alias("b"))
     sig = nodes.select("rep", "sig")
     star = (
-        star.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
-        .join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
+        star.join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
+        .join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
         .select("a", "b", "sig_a", "sig_b").mapInArrow(partial(_agreeing, screen=screen), "a long, b long")
     )
-    edges = _confirm(star, nodes, texts, shelf, "star", words, percent)
+    edges, _ = _confirm(shelf.put(star, "star_pairs"), nodes, texts, shelf, "star", words, percent)
     found = components(edges, shelf)
+    shelf.drop("star_texts", "star_texts1")
     # What the stars left apart. First of each node its closest pair alone, which joins nearly
     # all that belongs together; then, exactly, every pair of different components.
-    def unresolved(extra: DataFrame | None = None) -> DataFrame:
-        placed = members.join(found, F.col("rep") == F.col("node"), "left").select(
+    def unresolved(found: DataFrame, name: str, extra: DataFrame | None = None) -> DataFrame:
+        rest, n = members, found.count()
+        if extra is not None:
+            rest = rest.join(small(extra.select("rep"), extra.count()), "rep", "left_semi")
+        placed = rest.join(small(found, n), F.col("rep") == F.col("node"), "left").select(
             "band", "band_no", "rep", F.coalesce("component", "rep").alias("component")
         )
+        if n > BROADCAST_IDS:
+            placed = shelf.put(placed, f"{name}_placed")
         several = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"))
-        spread = placed.join(several.filter("lo != hi").select("band", "m"), "band").join(nodes.select("rep", "sig"), "rep")
+        several = shelf.put(several.filter("lo != hi").select("band", "m"), f"{name}_several")
+        spread = placed.join(small(several, several.count()), "band").join(nodes.select("rep", "sig"), "rep")
         if extra is not None:
             spread = spread.join(extra, "rep")
         blocks = F.ceil(F.col("m") / BLOCK).cast("int")
@@ -314,27 +321,31 @@ def near_duplicates(
         )
         return spread.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
 
-    near = unresolved().mapInArrow(partial(_closest, screen=screen), "node long, other long, agree double")
+    near = unresolved(found, "near").mapInArrow(partial(_closest, screen=screen), "node long, other long, agree double")
     near = near.groupBy("node").agg(F.max_by("other", F.struct("agree", -F.col("other"))).alias("other"))
     near = shelf.put(near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "near")
-    if not near.isEmpty():
-        edges = edges.select("a", "b").union(_confirm(near, nodes, texts, shelf, "closest", words, percent))
-        found = components(edges, shelf, "cc1_")
-        left = shelf.put(near.select(F.col("a").alias("rep")).union(near.select(F.col("b").alias("rep"))).distinct(), "left")
-        least = _texts_of(nodes, left, texts, shelf, "least").mapInArrow(partial(_least, words=words), "rep long, least binary")
-        least = shelf.put(least, "least")
+    shelf.drop("near_placed")
+    edges, near_texts = _confirm(near, nodes, texts, shelf, "closest", words, percent)
+    if near_texts is not None:
+        found = joined(found, edges, shelf, "cc1")
+        least = shelf.put(near_texts.select("rep", "text").mapInArrow(partial(_least, words=words), "rep long, least binary"), "least")
+        shelf.drop("closest_texts", "closest_texts1")
         likely = partial(_likely, screen=screen, percent=percent, rows_per_band=rows, bands=bands)
-        more = _confirm(unresolved(least).mapInArrow(likely, "a long, b long").distinct(), nodes, texts, shelf, "rest", words, percent)
-        if not more.isEmpty():
-            found = components(edges.union(more), shelf, "cc2_")
+        # a pair counts in one band alone: no row is repeated
+        rest = shelf.put(unresolved(found, "rest", least).mapInArrow(likely, "a long, b long"), "rest_pairs")
+        shelf.drop("rest_placed", "least")
+        more, more_texts = _confirm(rest, nodes, texts, shelf, "rest", words, percent)
+        if more_texts is not None:
+            found = joined(found, more, shelf, "cc2")
+            shelf.drop("rest_texts", "rest_texts1")
     # A component's label is the least (id, key) of its nodes: found holds the nodes with links alone.
+    n = found.count()
     own = F.struct(F.col("id").alias("label"), F.col("key").alias("label_key"))
-    linked = shelf.put(found.join(nodes.select(F.col("rep").alias("node"), own.alias("own")), "node"), "linked")
-    least_of = linked.groupBy("component").agg(F.min("own").alias("least"))
-    least_of = F.broadcast(least_of) if least_of.count() <= BROADCAST_IDS else least_of
-    linked = linked.join(least_of, "component").select(F.col("node").alias("rep"), "least")
-    labels = shelf.put(nodes.join(linked, "rep", "left").select("key", F.coalesce("least", own).alias("l")).select("key", "l.*"), "labels")
-    shelf.drop("members", "near", "least", "left", "nodes", *(f"{n}_{k}" for n in ("star", "closest", "rest") for k in ("pairs", "edges")))
+    placed = nodes.select("key", "rep", own.alias("own")).join(small(found, n), F.col("rep") == F.col("node"), "left")
+    least_of = shelf.put(placed.filter("component is not null").groupBy("component").agg(F.min("own").alias("least")), "least_of")
+    labels = placed.join(small(least_of, n), "component", "left").select("key", F.coalesce("least", "own").alias("l"))
+    labels = shelf.put(labels.select("key", "l.*"), "labels")
+    shelf.drop("members", "near", "nodes", "least_of", "near_several", "rest_several", "star_pairs", "rest_pairs", *(f"{k}_edges" for k in ("star", "closest", "rest")))
     out = sketches.join(labels, "key", "left")
     known = F.col("id").isNotNull()
     return out.select(
